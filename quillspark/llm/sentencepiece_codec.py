@@ -278,7 +278,7 @@ class Codec:
         """The text of ids, as the library's decode(ids)."""
         raw = self.text.gather(ids).tobytes()
         try:
-            out = raw.decode()
+            out = raw.decode() if self.text.size[ids].all() else self._loose(ids)  # control pieces part bytes
         except UnicodeDecodeError:
             out = self._loose(ids)
         first = ids[self.text.size[ids] > 0][:1]
