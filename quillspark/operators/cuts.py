@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
