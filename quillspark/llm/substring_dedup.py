@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import SPACE, as_bytes, table
-from quillspark.operators.cuts import cut
+from quillspark.operators.cuts import cut, release, remove
 
 WINDOW, GRAM = 13, 4
 #: Edges of the tree, in words.
@@ -253,20 +253,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("th", F.xxhash64("text"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(dk, th, spans): of each text with something to remove, the windows (start, n) that go."""
-    rows = _keyed(docs.select("doc_id", "text")).select("dk", "th", "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    spark = docs.sparkSession
-    groups = int(min(65_536, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // GROUP_CHARS)))
+def _repeated_anchors(rows: DataFrame, groups: int) -> DataFrame:
+    """(dk, places): of each document the anchors that other documents have too."""
     sent = rows.select("dk", "text").mapInArrow(_anchors(groups), "bucket int, keys binary, ids binary, places binary")
     marks = sent.groupBy("bucket").applyInPandas(_repeated, "dk long, place int")
-    places = cut(marks.groupBy("dk").agg(F.collect_list("place").alias("places")), "anchors")  # at most a document's words
+    return cut(marks.groupBy("dk").agg(F.collect_list("place").alias("places")), "anchors")  # at most a document's words
+
+
+def _repeated_windows(rows: DataFrame, places: DataFrame, groups: int) -> DataFrame:
+    """(dk, th, spans): of each text with something to remove, the windows (start, n) that go."""
     own = rows.join(places, "dk").select("dk", "th", "text", "places").mapInArrow(_stretches(groups), STRETCH)
     flagged = own.groupBy("bucket").applyInPandas(_flag, "dk long, th long, start int, n int")
     return cut(flagged.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
 
 
+def removals(docs: DataFrame) -> DataFrame:
+    """(dk, th, spans) of docs. What each step shuffled is released before the next one starts."""
+    rows = _keyed(docs.select("doc_id", "text")).select("dk", "th", "text")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    spark = docs.sparkSession
+    groups = int(min(65_536, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // GROUP_CHARS)))
+    places = _repeated_anchors(rows, groups)
+    release(spark)
+    spans = _repeated_windows(rows, places, groups)
+    remove(spark, places.cut_path)
+    release(spark)
+    return spans
+
+
 def kept_words(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
     """(words that stay, how many there were)."""
     words = text.split()
