@@ -31,11 +31,11 @@ COSINE = 0.9
 #: Vectors that centroids and codebooks are fitted on, at most.
 SAMPLE = 50_000
 #: Vectors for each coarse list, and lists at most.
-PER_LIST, MAX_LISTS = 2048, 16_384
+PER_LIST, MAX_LISTS = 256, 4096
 SUBSPACES, CODES = 16, 256
 #: How far differences between linked vectors may lean towards another centroid, in standard
 #: deviations of an even spread over all dimensions; the square root of the dimensions is certain.
-LEAN = 4.5
+LEAN = 2.5
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -75,14 +75,27 @@ class Quantizer:
             off += ((part - book[codes[:, j]]) ** 2).sum(1)
         return codes, np.sqrt(off)
 
-    def distances(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: from each residual to what each row of codes stands for, by table lookup."""
-        out = np.zeros((len(residual), len(codes)), np.float32)
+    def within(self, residual: np.ndarray, codes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) where residual i is within most[j] of what row j of codes stands for, asymmetrically, by table lookup.
+
+        The first subspaces are added up for all; the others for those that are not too far yet.
+        """
+        tables = []
         for j, book in enumerate(self.books):
             part = residual[:, self.edges[j] : self.edges[j + 1]]
-            lookup = ((part[:, None] - book) ** 2).sum(2).astype(np.float32)
-            out += np.take(lookup, codes[:, j], axis=1)
-        return np.sqrt(out)
+            tables.append(((part[:, None] - book) ** 2).sum(2).astype(np.float32))
+        limit = (most * most).astype(np.float32)
+        early = min(6, len(tables))
+        total = np.take(tables[0], codes[:, 0], axis=1)
+        for j in range(1, early):
+            total += np.take(tables[j], codes[:, j], axis=1)
+        a, b = np.nonzero(total <= limit)
+        own = total[a, b]
+        for j in range(early, len(tables)):
+            own += tables[j][a, codes[b, j]]
+            keep = own <= limit[b]
+            a, b, own = a[keep], b[keep], own[keep]
+        return a, b
 
     def probes(self, v: np.ndarray, cosine: float) -> np.ndarray:
         """Whether each row of v probes each list."""
@@ -135,7 +148,7 @@ def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
         count, links = {}, []
         for i in range(0, len(x), 256):
             part = x[i : i + 256]
-            a, b = np.nonzero(q.distances(part - q.centres[key], codes) <= most)
+            a, b = q.within(part - q.centres[key], codes, most)
             keep = (x_id[i + a] != y_id[b]) & ((part[a] * y[b]).sum(1) >= cosine)
             a, b = i + a[keep], b[keep]
             links.append((x_id[a], y_id[b]))
