@@ -179,6 +179,9 @@ def _stretches(groups: int):
                     s = data[a:z]
                     words.append(None if seen.setdefault(s, i) < i else s)
                 bucket = ((key[head] >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
+                # What is known to go needs no group: it is dealt out evenly.
+                sure = np.array([x is None for x in words], bool)
+                bucket[sure] = (own[sure] + begin[sure]) % groups
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket), pa.array(own), pa.array(own_th), pa.array((begin - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words, pa.binary())],
                     ["bucket", "dk", "th", "start", "n", "words"],
