@@ -3,8 +3,11 @@
 Folding lower-cases, maps lookalike letters of other scripts and digits or signs that stand for
 letters to Latin ones, drops zero-width characters and turns the rest into spaces. Entries are
 folded words and word beginnings of four to six letters (a stem for words of rich inflection), with
-their smoothed log odds as weights. A word counts once, by its heaviest entry, unless it lies within
-an exception phrase. score = 1 - exp(-sum of weights / (SCALE * (1 + LENGTH * ln(1 + words/1000)))).
+their smoothed log odds as weights. Support counts documents, but neighbours (the word before and the
+word after) that recur count once, so that copies of one text lend a word no more than the text does;
+it must be improbable under the labels' base rate for as many terms as were tried. A word counts once,
+by its heaviest entry, unless it lies within an exception phrase.
+score = 1 - exp(-sum of weights / (SCALE * (1 + LENGTH * ln(1 + words/1000)))).
 
 Nulls and edge cases: null or empty text scores 0; labels that are null or other than 0 and 1, and
 labels without a document, are ignored; several labels of a document count as toxic if one is; with
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import table
+from quillspark.operators.cuts import cut
 
 #: Labelled rows that the lexicon is learned from, at most; taken by a hash of their id.
 MAX_LABELLED = 50_000
@@ -32,6 +36,8 @@ MAX_TERMS = 20_000
 LEAST = 1.2
 #: Toxic documents with an entry for each clean one, at least.
 PURITY = 4
+#: The chance of any wrong entry at the base rate, at most, over all terms tried.
+CHANCE = 0.5
 SCALE, LENGTH = 1.5, 0.1
 STEMS = range(4, 7)
 #: Harmless phrases around words that may be in the lexicon.
@@ -81,18 +87,59 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in both)], ["term", "clean", "toxic"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], wanted: set[str]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    own: dict[str, tuple[str, ...]] = {}
+    for b in batches:
+        seen = set()
+        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = ["", *fold(text).split(), ""]
+            for i in range(1, len(words) - 1):
+                w = words[i]
+                if (found := own.get(w)) is None:
+                    found = own[w] = tuple(t for t in (f" {w} ", *(f" {w[:n]}" for n in STEMS if len(w) >= n)) if t in wanted)
+                if found:
+                    around = xxhash.xxh64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1
+                    seen.update((t, toxic, around) for t in found)
+        own.clear()
+        rows = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], ["term", "label", "around"])
+
+
+def evidence(toxic: int, clean: int, share: float) -> float:
+    """Nats against a term of so many toxic and clean documents being spread as the labels are: a Chernoff bound."""
+    n = toxic + clean
+    if not n or toxic / n <= share:
+        return 0.0
+    rest = clean * math.log(clean / n / (1 - share)) if clean else 0.0
+    return toxic * math.log(toxic / n / share) + rest
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict[str, float]:
     """Weights of terms from the labelled documents; labels: rows (doc_id, toxic) that may be learned from."""
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # bounded, so it can be broadcast
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if not n.get(1):
+        return {}
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
     counts = rows.mapInArrow(_count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
+    tried = cut(counts.where("toxic >= 3"), "terms")
+    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
     bound = odds - 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = counts.where((F.col("toxic") >= 3) & (F.col("toxic") >= PURITY * F.col("clean"))).select("term", odds.alias("w"), bound.alias("bound")).where(F.col("bound") > LEAST)
-    best = best.orderBy(F.desc("bound"), "term").limit(MAX_TERMS)
-    return {r["term"]: round(r["w"], 6) for r in best.collect()}
+    best = tried.where(F.col("toxic") >= PURITY * F.col("clean")).withColumn("w", odds).withColumn("bound", bound).where(F.col("bound") > LEAST)
+    best = {r["term"]: r for r in best.orderBy(F.desc("bound"), "term").limit(MAX_TERMS).collect()}
+    wanted = docs.sparkSession.sparkContext.broadcast(set(best))
+    found = rows.mapInArrow(lambda batches: _contexts(batches, wanted.value), "term string, label int, around long").distinct().groupBy("term").pivot("label", [0, 1]).count()
+    share = n[1] / (n[1] + n.get(0, 0))
+    least = math.log(max(1, tried.count()) / CHANCE)
+    out = {}
+    for r in found.na.fill(0).collect():  # at most MAX_TERMS rows
+        b = best[r["term"]]
+        if evidence(min(b["toxic"], r["1"]), min(b["clean"], r["0"]), share) > least:
+            out[r["term"]] = round(b["w"], 6)
+    return out
 
 
 class Matcher:

@@ -181,3 +181,15 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < out.count() <= pq.read_table(f"{SF}/documents.parquet").num_rows
+
+
+def test_toxicity_evidence_ignores_copies(spark):
+    """A word of many copies of one toxic text is no entry; one of many toxic texts is."""
+    words = lambda i: " ".join(f"w{(i * 7919 + k * 104729) % 9973}x" for k in range(12))
+    rows = [(i, f"{words(i)} vilest {words(i + 5000)}", 1) for i in range(40)]
+    rows += [(100 + i, f"{words(77)} copied {words(78)}", 1) for i in range(40)]
+    rows += [(1000 + i, words(i + 20000), 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.learn(df, df.select("doc_id", "toxic"))
+    assert " vilest " in found and " copied " not in found
+    assert toxicity.learn(df, df.select("doc_id", "toxic").where("toxic = 0")) == {}
