@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import answers
 from quillspark.functions.text import CJK, is_bengali_dominant, normalize_text, to_ascii_digits, to_bengali_digits
+from quillspark.operators.cuts import cut
 
 
 def build_records(master: DataFrame, dropped_sources: tuple[str, ...] = ()) -> DataFrame:
@@ -68,8 +69,11 @@ def gates(records: DataFrame, splits: DataFrame, eval_keys: DataFrame, key: Colu
         count(F.array_contains("flags", "answer_conflict")).alias("answer_conflict"),
     )
     names = ["pool_and_chain", "chain_not_native", "verifiable_without_value", "chain_disagrees", "answer_conflict"]
-    parts = [one.select(F.lit(n).alias("gate"), F.lit("warn" if n == "answer_conflict" else "fail").alias("severity"), F.coalesce(n, F.lit(0)).cast("long").alias("violations")) for n in names]
-    ids = records.select("id")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.lit("warn" if n == "answer_conflict" else "fail").alias("severity"), F.coalesce(n, F.lit(0)).cast("long").alias("violations")) for n in names]))
+    parts = [one.select(each.alias("g")).select("g.*")]
+    # Graded once above; the other gates read ids and keys only.
+    slim = cut(records.select("id", key.alias("key")), "gate-keys")
+    ids = slim.select("id")
 
     def total(name: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("gate"), F.lit("fail").alias("severity"), "violations")
@@ -78,7 +82,7 @@ def gates(records: DataFrame, splits: DataFrame, eval_keys: DataFrame, key: Colu
         total("duplicate_ids", ids.groupBy("id").count().where("count > 1")),
         total("split_overlap", splits.groupBy("id").agg(F.count_distinct("split").alias("n")).where("n > 1")),
         total("split_coverage", ids.join(splits, "id", "left_anti")), total("split_unknown_ids", splits.join(ids, "id", "left_anti")),
-        total("contaminated", records.withColumn("key", key).join(eval_keys.where("key != ''").distinct(), "key", "left_semi")),
+        total("contaminated", slim.join(eval_keys.where("key != ''").distinct(), "key", "left_semi")),
         ids.sparkSession.range(1).select(F.lit("required_fields").alias("gate"), F.lit("fail").alias("severity"), F.lit(len(missing)).cast("long").alias("violations")),
     ]
     out = parts[0]

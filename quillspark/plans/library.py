@@ -149,18 +149,22 @@ p AS (SELECT l_orderkey % 3 AS benchmark, a.p % 4 <> 0 AS ca, b.p % 3 <> 0 AS cb
       FROM d a JOIN d b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2)"""
 
 
-@query("g8_metrics", f"""WITH {RESULTS_SQL}
-SELECT benchmark, CAST(count(*) AS BIGINT) AS n_paired, round(avg(CAST(ca AS INT)), 9) AS accuracy_ar, round(avg(CAST(cb AS INT)), 9) AS accuracy_bn, round(avg(CAST(va IS NOT DISTINCT FROM vb AS INT)), 9) AS answer_agreement,
-  round(avg(CAST(ca AND cb AS INT)), 9) AS both_correct, round(avg(CAST(ca <> cb AS INT)), 9) AS correctness_flip, round(avg(CAST(va IS NOT NULL AS INT)), 9) AS parseable_ar, round(avg(CAST(tb AS INT)), 9) AS truncated_bn,
-  CASE WHEN avg(CAST(va IS NOT DISTINCT FROM vb AS INT)) >= 0.85 THEN 'other' ELSE 'inconsistent' END AS verdict FROM p GROUP BY benchmark""")
-def paired_metrics(spark, sf_dir):
+def result_log(spark, sf_dir) -> DataFrame:
+    """A result log from lines 1 and 2 of each order as the two scripts."""
     rows = read(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2)").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"), F.max("l_quantity").alias("q"))
     first = F.col("l_linenumber") == 1
-    log = rows.select(
+    return rows.select(
         (F.col("l_orderkey") % 3).alias("benchmark"), F.col("l_orderkey").alias("eval_id"), F.when(first, "ar").otherwise("bn").alias("script"), F.when(first, F.col("p") % 4 != 0).otherwise(F.col("p") % 3 != 0).alias("correct"),
         F.when(F.col("p") % 5 > 0, (F.col("p") % 5).cast("string")).alias("predicted_canonical"), F.when(F.col("p") % 5 > 0, "boxed").alias("extraction_method"), (F.col("q") > 45).alias("truncated"),
     )
-    m = evaluate.metrics(evaluate.paired(log)).withColumn("verdict", evaluate.verdict())
+
+
+@query("g8_metrics", f"""WITH {RESULTS_SQL}
+SELECT benchmark, CAST(count(*) AS BIGINT) AS n_paired, round(avg(CAST(ca AS INT)), 9) AS accuracy_ar, round(avg(CAST(cb AS INT)), 9) AS accuracy_bn, round(avg(CAST(va IS NOT DISTINCT FROM vb AS INT)), 9) AS answer_agreement,
+  round(avg(CAST(ca AND cb AS INT)), 9) AS both_correct, round(avg(CAST(ca <> cb AS INT)), 9) AS correctness_flip, round(avg(CAST(va IS NOT NULL AS INT)), 9) AS parseable_ar, round(avg(CAST(tb AS INT)), 9) AS truncated_bn,
+  CASE WHEN avg(CAST(va IS NOT DISTINCT FROM vb AS INT)) >= 0.85 THEN 'other' ELSE 'inconsistent' END AS verdict FROM p GROUP BY benchmark""")
+def paired_metrics(spark, sf_dir):
+    m = evaluate.metrics(evaluate.paired(result_log(spark, sf_dir))).withColumn("verdict", evaluate.verdict())
     return m.select("benchmark", "n_paired", *[F.round(c, 9).alias(c) for c in ("accuracy_ar", "accuracy_bn", "answer_agreement", "both_correct", "correctness_flip", "parseable_ar", "truncated_bn")], "verdict")
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillspark.plans import catalog, library  # noqa: F401
+from quillspark.plans import catalog, curation, library  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
