@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
+
+    One collection only lets go of what holds the plans; the second finds the shuffles. The cleaner
+    works on its own, so each is given a moment before the next step writes.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
