@@ -94,6 +94,36 @@ def verdict() -> Column:
     )
 
 
+def compare_models(summaries: DataFrame) -> DataFrame:
+    """(model, n_paired, METRICS, verdict) over summaries, one row per (model, benchmark); the verdict is always guarded."""
+    return overall(summaries, ["model"]).withColumn("verdict", verdict())
+
+
+def parse_rates(graded: DataFrame, by: list[str]) -> DataFrame:
+    """(by, extraction_method, n, share, low): how answers were found in each group; low where under half were found at all."""
+    n = graded.groupBy(*by).agg(F.count("*").alias("_n"), F.avg(F.col("extraction_method").isNotNull().cast("double")).alias("_found"))
+    each = graded.groupBy(*by, "extraction_method").agg(F.count("*").alias("n"))
+    return each.join(n, by).select(*by, "extraction_method", "n", (F.col("n") / F.col("_n")).alias("share"), (F.col("_found") < 0.5).alias("low"))
+
+
+def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
+    """Required names that df has no column of."""
+    return [c for c in required if c not in df.columns]
+
+
+def ratios(pairs: DataFrame) -> DataFrame:
+    """pairs (benchmark, tokens_ar, tokens_bn, fertility_ar, fertility_bn) with length_ratio, fertility_ratio and what the latter means."""
+    rows = pairs.withColumn("length_ratio", F.col("tokens_bn") / F.greatest("tokens_ar", F.lit(1))).withColumn("fertility_ratio", F.col("fertility_bn") / F.greatest("fertility_ar", F.lit(1e-9)))
+    r = F.col("fertility_ratio")
+    return rows.withColumn("meaning", F.when(r >= 2.0, "strong").when(r >= 1.25, "moderate").otherwise("weak"))
+
+
+def worst(ratio_rows: DataFrame) -> DataFrame:
+    """(benchmark, fertility_ratio, meaning) of the largest fertility_ratio, the first name of equals."""
+    best = F.min_by(F.struct("benchmark", "fertility_ratio", "meaning"), F.struct((-F.col("fertility_ratio")).alias("r"), "benchmark"))
+    return ratio_rows.agg(best.alias("w")).select("w.*")
+
+
 def fertility(rows: DataFrame, text: str, count: Callable[[Column], Column] = F.octet_length) -> DataFrame:
     """n, tokens and digit_fertility of a text column: tokens of its digit runs over its digits; count gives a text's tokens."""
     runs = F.regexp_extract_all(F.col(text), F.lit("([0-9০-৯]+)"), F.lit(1))

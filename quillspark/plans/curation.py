@@ -127,7 +127,7 @@ LATIN_CHAIN = "This chain of thought is in English and longer than forty letters
 NATIVE_CHAIN = "সমাধান এখানে অনেক লম্বা একটি বাংলা বাক্য লেখা আছে"
 
 
-def _master(spark, sf_dir) -> DataFrame:
+def master_rows(spark, sf_dir) -> DataFrame:
     i, n = F.col("p_partkey"), F.col("p_size").cast("string")
     marked = F.concat(F.lit(f"{NATIVE_CHAIN}\nউত্তর: "), (F.col("p_size") + i % 2).cast("string"))
     return read(spark, sf_dir, "part").select(
@@ -144,7 +144,7 @@ REASON_SQL = "CASE WHEN p_partkey % 7 = 0 THEN 'dropped_source' WHEN p_partkey %
 WITH r AS (SELECT *, {REASON_SQL} AS drop_reason FROM part)
 SELECT drop_reason, CASE WHEN p_partkey % 3 = 0 THEN 'rl' ELSE 'sft' END AS pool, CASE WHEN p_partkey % 4 <> 0 THEN 'bare_field' WHEN p_partkey % 3 <> 0 THEN 'bn_marker' END AS answer_method, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2, 3""")
 def records(spark, sf_dir):
-    return curate.build_records(_master(spark, sf_dir), ("bad",)).groupBy("drop_reason", "pool", "answer_method").agg(F.count("*").alias("n"))
+    return curate.build_records(master_rows(spark, sf_dir), ("bad",)).groupBy("drop_reason", "pool", "answer_method").agg(F.count("*").alias("n"))
 
 
 @query("q_gates", f"""
@@ -154,7 +154,7 @@ c AS (SELECT count(*) FILTER (WHERE kept AND i % 3 <> 0 AND i % 4 <> 0 AND i % 2
 SELECT gate, severity, CAST(violations AS BIGINT) AS violations FROM c, LATERAL (VALUES ('pool_and_chain', 'fail', 0), ('chain_not_native', 'fail', 0), ('verifiable_without_value', 'fail', 0), ('chain_disagrees', 'fail', disagrees), ('answer_conflict', 'warn', 0),
   ('duplicate_ids', 'fail', 0), ('split_overlap', 'fail', overlap), ('split_coverage', 'fail', uncovered), ('split_unknown_ids', 'fail', unknown), ('contaminated', 'fail', hit), ('required_fields', 'fail', 0)) v(gate, severity, violations)""")
 def quality_gates(spark, sf_dir):
-    kept = cut(curate.build_records(_master(spark, sf_dir), ("bad",)).where("drop_reason is null"), "records")
+    kept = cut(curate.build_records(master_rows(spark, sf_dir), ("bad",)).where("drop_reason is null"), "records")
     ids = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("i")).where("i % 9 != 0")
     assigned = ids.select("id", F.lit("train").alias("split")).unionByName(ids.where("i % 8 = 0").select("id", F.lit("val").alias("split")))
     keys = read(spark, sf_dir, "part").where("p_size = 7").select(T.matching_key(F.concat(F.lit("প্রশ্ন "), F.col("p_size").cast("string"))).alias("key"))
@@ -164,5 +164,5 @@ def quality_gates(spark, sf_dir):
 @query("f8_script_pairs", f"""
 SELECT CAST(p_partkey AS VARCHAR) AS id, 'প্রশ্ন ' || p_size AS question_ar_digits, translate('প্রশ্ন ' || p_size, '0123456789', '০১২৩৪৫৬৭৮৯') AS question_bn_digits FROM part WHERE ({REASON_SQL}) IS NULL""")
 def pairs(spark, sf_dir):
-    kept = curate.build_records(_master(spark, sf_dir), ("bad",)).where("drop_reason is null")
+    kept = curate.build_records(master_rows(spark, sf_dir), ("bad",)).where("drop_reason is null")
     return curate.script_pairs(kept).select("id", "question_ar_digits", "question_bn_digits")

@@ -12,6 +12,8 @@ from quillspark.plans.catalog import query
 # The matching key in both engines; the driver's texts are composed already.
 KEY_SQL = "regexp_replace(lower(translate(text, '০১২৩৪৫৬৭৮৯', '0123456789')), '[^\\p{L}\\p{N}_\\x{0980}-\\x{09FF}]+', '', 'g')"
 
+GRAMS_OF = "CASE WHEN length(key) < 5 THEN [key] ELSE list_distinct(list_transform(generate_series(1, length(key) - 4), lambda i: substring(key, i, 5))) END"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,4 +1,4 @@
-"""Sources and sinks: JSON arrays and lines, delimited text, Parquet; question columns of foreign files."""
+"""Sources and sinks: JSON arrays and lines, delimited text, Parquet; folders of benchmarks; what would be published."""
 
 from __future__ import annotations
 
@@ -22,6 +22,14 @@ def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', sep=sep, maxCharsPerColumn=-1)
 
 
+def wrapped_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array, JSON lines (by the suffix .jsonl) or one object whose rows are below data; columns as found."""
+    df = spark.read.option("multiLine", not path.endswith(".jsonl")).json(path)
+    if "data" in df.columns and df.schema["data"].dataType.typeName() == "array":
+        return df.select(F.explode("data").alias("_row")).select("_row.*")
+    return df
+
+
 def load_benchmark(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Eval records that can be graded: verifiable, with two different variants."""
     out = rows.where("verifiable and variants_differ")
@@ -47,6 +55,64 @@ def questions(df: DataFrame, columns: list[str], benchmark: str, ord_: int) -> D
     return df.select(F.lit(benchmark).alias("benchmark"), F.lit(ord_).alias("ord"), cell).where("trim(question) != ''")
 
 
+def children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(path, whether it is a folder) of what lies in a folder, sorted, by Spark's own file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted((s.getPath().toString(), s.isDirectory()) for s in fs.listStatus(p))
+
+
+def benchmark_questions(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(benchmark, ord, question) of all files in the folders below root, in the order of their names.
+
+    A folder is a benchmark; ord counts files. Delimited files give all their question columns, others
+    the likeliest one. Files of other kinds, or without a question column, give nothing.
+    """
+    out = spark.createDataFrame([], "benchmark string, ord int, question string")
+    ord_ = 0
+    for folder, is_folder in children(spark, root):
+        name = folder.rsplit("/", 1)[1]
+        if not is_folder or name in skip:
+            continue
+        for path, _ in children(spark, folder):
+            kind = path.rsplit(".", 1)[-1].lower()
+            if kind in ("csv", "tsv"):
+                df = delimited(spark, path, "," if kind == "csv" else "\t")
+                columns = question_columns(df.columns)
+            elif kind in ("parquet", "json", "jsonl"):
+                df = spark.read.parquet(path) if kind == "parquet" else wrapped_json(spark, path)
+                columns = [c for c in [question_column(df.columns)] if c]
+            else:
+                continue
+            if columns:
+                out = out.unionByName(questions(df, columns, name, ord_))
+            ord_ += 1
+    return out
+
+
+def missing_primary(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """The primary benchmarks of registry (name, role) that found (name) lacks."""
+    return registry.where("role = 'primary'").join(found.select("name").distinct(), "name", "left_anti").select("name")
+
+
+def publish_plan(spark: SparkSession, root: str, allow: tuple[str, ...], never: tuple[str, ...] = ()) -> DataFrame:
+    """(path, bytes) of the files below root that would be published: relative paths that allow lists, or whose folder it lists.
+
+    Paths that never lists, likewise, are left out whatever allow says. No content is read.
+    """
+    base = children(spark, root)
+    at = (base[0][0].rsplit("/", 1)[0] if base else root).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring("path", len(at) + 1, 1 << 20).alias("path"), F.col("length").alias("bytes"))
+
+    def listed(names: tuple[str, ...]) -> Column:
+        found = F.lit(False)
+        for n in names:
+            found = found | (F.col("path") == n) | F.startswith("path", F.lit(n.rstrip("/") + "/"))
+        return found
+
+    return files.where(listed(allow) & ~listed(never))
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines; mode append adds to a log."""
     df.write.mode(mode).json(path)
