@@ -8,6 +8,10 @@ GROUP_CHARS; neighbours of one anchor travel as one stretch of words. In a group
 suffixes is built top down, by edges of a few words; nodes with leaves of one document are cut off, and
 the nodes at depth 13 that are left are the repeats: all leaves but those of the smallest doc_id go.
 
+An anchor that occurs more often than a sixty-fourth of a group's share of the text is hot. Its prefix is
+extended to the whole window: each of its windows travels alone, to a group of its own hash. At most 32
+hot anchors for each group can exist, so their list is small.
+
 What travels is bounded by what repeats: in one slice of a task, an anchor known to several documents
 is sent once, and equal stretches of a slice are sent for the first document alone.
 
@@ -35,6 +39,8 @@ WINDOW, GRAM = 13, 4
 EDGES = ((0, 4), (4, 8), (8, 13))
 #: Characters of text for each group of suffixes, and bytes that are cut into words at once.
 GROUP_CHARS, SLICE = 16 << 20, 4 << 20
+#: An anchor is hot beyond this share of a group's characters; below LEAST_HOT occurrences none is.
+HOT_SHARE, LEAST_HOT = 64, 64
 LAST = (1 << 63) - 1
 _R = np.random.default_rng(13).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -71,7 +77,7 @@ class Words:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, anchor, key): the words that a whole window starts at, its anchor's place, its anchor's hash."""
-        h = self.hashes()
+        h = self.h = self.hashes()
         if len(h) < WINDOW:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         g = np.zeros(len(h) - GRAM + 1, np.uint64)
@@ -84,6 +90,13 @@ class Words:
         anchor = anchor[window]
         return window, anchor, g[anchor]
 
+    def window_hashes(self, window: np.ndarray) -> np.ndarray:
+        """A hash of each window's words, after anchors()."""
+        g = np.zeros(len(window), np.uint64)
+        for j in range(WINDOW):
+            g = _mix(g * _M + self.h[window + j])
+        return g
+
 
 def _slices(texts: list[bytes], order: np.ndarray) -> Iterator[np.ndarray]:
     """order cut where the texts reach SLICE bytes."""
@@ -115,7 +128,8 @@ def _anchors(groups: int):
                 several = own[start] != own[tail] if len(start) else np.zeros(0, bool)
                 known = several[np.cumsum(head) - 1] if len(key) else several
                 rows = [(int(part[0] + len(w.data)) % groups, None, own[known].tobytes(), place[known].tobytes())] if known.any() else []
-                place = np.where(known, np.int32(-1), place)
+                many = (tail - start + 1).astype(np.int32)[np.cumsum(head) - 1] if len(key) else place
+                place = np.where(known, -many, place)
                 send = ~known | head
                 key, own, place = key[send], own[send], place[send]
                 bucket = (key >> np.uint64(32)) % np.uint64(groups)
@@ -131,27 +145,32 @@ def _anchors(groups: int):
     return run
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, place) of anchors of a bucket that several documents have."""
+def _repeated(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """(doc_id, place) of anchors of a bucket that several documents have, and rows with no doc_id for the hot ones."""
     join = lambda c, kind, rows: np.frombuffer(b"".join(rows[c]), kind)
     sent = pdf["keys"].notna()
     known, rows = pdf[~sent], pdf[sent]
     key, own, place = join("keys", np.uint64, rows), join("ids", np.int64, rows), join("places", np.int32, rows)
     order = np.argsort(key)
     key, own, place = key[order], own[order], place[order]
+    hot = key[:0]
     if len(key):
         head = np.r_[True, key[1:] != key[:-1]]
         start = np.flatnonzero(head)
         several = (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)) | (np.minimum.reduceat(place, start) < 0)
+        hot = key[start][several & (np.add.reduceat(np.where(place < 0, -place, 1).astype(np.int64), start) > limit)]
         keep = several[np.cumsum(head) - 1] & (place >= 0)
         own, place = own[keep], place[keep]
-    return pd.DataFrame({"dk": np.concatenate([own, join("ids", np.int64, known)]), "place": np.concatenate([place, join("places", np.int32, known)])})
+    own, place = np.concatenate([own, join("ids", np.int64, known)]), np.concatenate([place, join("places", np.int32, known)])
+    found = pd.DataFrame({"dk": pd.array(own, "Int64"), "place": pd.array(place, "Int32"), "hot": pd.array([pd.NA] * len(own), "Int64")})
+    none = pd.array([pd.NA] * len(hot), "Int64")
+    return pd.concat([found, pd.DataFrame({"dk": none, "place": none.astype("Int32"), "hot": pd.array(hot.view(np.int64), "Int64")})])
 
 
 STRETCH = "bucket int, dk long, th long, start int, n int, words binary"
 
 
-def _stretches(groups: int):
+def _stretches(groups: int, hot: np.ndarray):
     """Rows (bucket, dk, th, start, n, words): n windows from word start on; without words, known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +188,9 @@ def _stretches(groups: int):
                 window, anchor, key = window[keep], anchor[keep], key[keep]
                 if not len(window):
                     continue
-                head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
+                alone = np.isin(key, hot)
+                key[alone] = _mix(key[alone] ^ w.window_hashes(window[alone]))
+                head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1) | alone[1:]])
                 n = np.diff(np.append(head, len(window)))
                 begin = window[head]
                 text = w.text[begin]
@@ -256,16 +277,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("dk", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("th", F.xxhash64("text"))
 
 
-def _repeated_anchors(rows: DataFrame, groups: int) -> DataFrame:
-    """(dk, places): of each document the anchors that other documents have too."""
+def _repeated_anchors(rows: DataFrame, groups: int, limit: int) -> DataFrame:
+    """(dk, places, hot): of each document the anchors that other documents have too; the row without dk lists the hot ones."""
     sent = rows.select("dk", "text").mapInArrow(_anchors(groups), "bucket int, keys binary, ids binary, places binary")
-    marks = sent.groupBy("bucket").applyInPandas(_repeated, "dk long, place int")
-    return cut(marks.groupBy("dk").agg(F.collect_list("place").alias("places")), "anchors")  # at most a document's words
+    marks = sent.groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, limit), "dk long, place int, hot long")
+    return cut(marks.groupBy("dk").agg(F.collect_list("place").alias("places"), F.collect_list("hot").alias("hot")), "anchors")  # at most a document's words
 
 
 def _repeated_windows(rows: DataFrame, places: DataFrame, groups: int) -> DataFrame:
     """(dk, th, spans): of each text with something to remove, the windows (start, n) that go."""
-    own = rows.join(places, "dk").select("dk", "th", "text", "places").mapInArrow(_stretches(groups), STRETCH)
+    listed = places.where("dk is null").select("hot").first()
+    hot = np.array(listed[0] if listed else [], np.int64).view(np.uint64)
+    own = rows.join(places.drop("hot"), "dk").select("dk", "th", "text", "places").mapInArrow(_stretches(groups, hot), STRETCH)
     flagged = own.groupBy("bucket").applyInPandas(_flag, "dk long, th long, start int, n int")
     return cut(flagged.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
 
@@ -276,7 +299,7 @@ def removals(docs: DataFrame) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     spark = docs.sparkSession
     groups = int(min(65_536, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // GROUP_CHARS)))
-    places = _repeated_anchors(rows, groups)
+    places = _repeated_anchors(rows, groups, max(LEAST_HOT, chars // (groups * HOT_SHARE)))
     release(spark)
     spans = _repeated_windows(rows, places, groups)
     remove(spark, places.cut_path)

@@ -193,3 +193,21 @@ def test_toxicity_evidence_ignores_copies(spark):
     found = toxicity.learn(df, df.select("doc_id", "toxic"))
     assert " vilest " in found and " copied " not in found
     assert toxicity.learn(df, df.select("doc_id", "toxic").where("toxic = 0")) == {}
+
+
+@pytest.mark.parametrize("least", [0, 1 << 40])
+def test_substrings_of_hot_anchors(spark, monkeypatch, least):
+    """The same rows whether every repeated anchor is hot or none is."""
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", least)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 1 << 40)
+    line = "one very common line that is in nearly all of the texts here".split()
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in rng.integers(0, 4, 40)]
+        at = int(rng.integers(0, 30))
+        rows.append((i, " ".join(words[:at] + line + (line if i % 3 == 0 else []) + words[at:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(docs).collect()}
+    assert got == substring_dedup.brute_force(rows)
+    assert any(v[1] for v in got.values())
