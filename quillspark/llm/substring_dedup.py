@@ -13,7 +13,7 @@ extended to the whole window: each of its windows travels alone, to a group of i
 hot anchors for each group can exist, so their list is small.
 
 What travels is bounded by what repeats: in one slice of a task, an anchor known to several documents
-is sent once, and equal stretches of a slice are sent for the first document alone.
+is sent once, and equal stretches of a slice are sent for the first document alone, once with all their starts.
 
 Nulls and edge cases: null text has no words; texts shorter than 13 words lose nothing; a repeat within
 one document alone, or in rows of equal doc_id, is kept; a null doc_id counts as larger than all others;
@@ -167,11 +167,11 @@ def _repeated(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.concat([found, pd.DataFrame({"dk": none, "place": none.astype("Int32"), "hot": pd.array(hot.view(np.int64), "Int64")})])
 
 
-STRETCH = "bucket int, dk long, th long, start int, n int, words binary"
+STRETCH = "bucket int, dk long, th long, starts binary, n int, words binary"
 
 
 def _stretches(groups: int, hot: np.ndarray):
-    """Rows (bucket, dk, th, start, n, words): n windows from word start on; without words, known to go."""
+    """Rows (bucket, dk, th, starts, n, words): n windows from each of the words starts on; without words, known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,17 +195,25 @@ def _stretches(groups: int, hot: np.ndarray):
                 begin = window[head]
                 text = w.text[begin]
                 own, own_th = ids[part][text], th[part][text]
-                data, seen, words = w.data, {}, []
-                for a, z, i in zip(w.start[begin].tolist(), w.end[begin + n + WINDOW - 2].tolist(), own.tolist(), strict=True):
+                data, seen, words, starts, rows = w.data, {}, [], [], []
+                place = (begin - w.first[text]).astype(np.int32).tolist()
+                for j, (a, z, i, t) in enumerate(zip(w.start[begin].tolist(), w.end[begin + n + WINDOW - 2].tolist(), own.tolist(), own_th.tolist(), strict=True)):
                     s = data[a:z]
-                    words.append(None if seen.setdefault(s, i) < i else s)
-                bucket = ((key[head] >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
+                    first, first_th, at = seen.setdefault(s, (i, t, len(rows)))
+                    if at < len(rows) and (first, first_th) == (i, t):
+                        starts[at].append(place[j])
+                        continue
+                    words.append(None if first < i else s)
+                    starts.append([place[j]])
+                    rows.append(j)
+                rows = np.array(rows, np.int64)
+                bucket = ((key[head] >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)[rows]
                 # What is known to go needs no group: it is dealt out evenly.
                 sure = np.array([x is None for x in words], bool)
-                bucket[sure] = (own[sure] + begin[sure]) % groups
+                bucket[sure] = ((own + begin) % groups)[rows][sure]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), pa.array(own), pa.array(own_th), pa.array((begin - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words, pa.binary())],
-                    ["bucket", "dk", "th", "start", "n", "words"],
+                    [pa.array(bucket), pa.array(own[rows]), pa.array(own_th[rows]), pa.array([np.array(x, np.int32).tobytes() for x in starts], pa.binary()), pa.array(n[rows].astype(np.int32)), pa.array(words, pa.binary())],
+                    ["bucket", "dk", "th", "starts", "n", "words"],
                 )
 
     return run
@@ -265,12 +273,19 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
     n = rows["n"].to_numpy(np.int64)
     gone = repeats(rows["words"].tolist(), n, rows["dk"].to_numpy(np.int64))
     which = np.repeat(np.arange(len(rows)), n)
-    start = np.repeat(rows["start"].to_numpy(np.int64), n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    which, start = which[gone], start[gone]
-    head = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
+    off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    which, off = which[gone], off[gone]
+    head = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(which)))
-    found = pd.DataFrame({"dk": rows["dk"].to_numpy()[which[head]], "th": rows["th"].to_numpy()[which[head]], "start": start[head], "n": size})
-    return pd.concat([found, pdf.loc[known, ["dk", "th", "start", "n"]]]).astype({"dk": "int64", "th": "int64", "start": "int32", "n": "int32"})
+    # Each run of windows that go, at every start of its stretch.
+    starts = lambda part: np.frombuffer(b"".join(part["starts"]), np.int32).astype(np.int64)
+    many = rows["starts"].map(len).to_numpy(np.int64) // 4
+    row, k = which[head], many[which[head]]
+    run = np.repeat(np.arange(len(head)), k)
+    at = (np.cumsum(many) - many)[row[run]] + np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
+    found = pd.DataFrame({"dk": rows["dk"].to_numpy()[row[run]], "th": rows["th"].to_numpy()[row[run]], "start": starts(rows)[at] + off[head][run], "n": size[run]})
+    sure = pdf.loc[known, ["dk", "th", "n"]].assign(start=starts(pdf[known]))
+    return pd.concat([found, sure])[["dk", "th", "start", "n"]].astype({"dk": "int64", "th": "int64", "start": "int32", "n": "int32"})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -207,6 +207,7 @@ def test_substrings_of_hot_anchors(spark, monkeypatch, least):
         words = [f"w{k}" for k in rng.integers(0, 4, 40)]
         at = int(rng.integers(0, 30))
         rows.append((i, " ".join(words[:at] + line + (line if i % 3 == 0 else []) + words[at:])))
+    rows += [(i, " ".join(["a", "b"] * i)) for i in (200, 220, 240)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(docs).collect()}
     assert got == substring_dedup.brute_force(rows)
