@@ -3,7 +3,8 @@
 Equal vectors are one class. Centroids and codebooks are fitted on a bounded sample. Each class lies
 in the list of its nearest centroid with the codes of its residual and how far they are off. It
 probes every list whose centroid is hardly farther than its own: a vector within the link distance
-could lie there. In a list, distances to all codes come from one lookup table per query; whatever
+could lie there. Of two linked vectors at least one probes the other's list, however their
+difference lies. In a list, distances to all codes come from one lookup table per query; whatever
 they don't exclude (the code's error is added, so none is lost) is compared by exact cosine. Counts
 and a forest of the links leave a task, never all pairs.
 
@@ -31,11 +32,11 @@ COSINE = 0.9
 #: Vectors that centroids and codebooks are fitted on, at most.
 SAMPLE = 50_000
 #: Vectors for each coarse list, and lists at most.
-PER_LIST, MAX_LISTS = 256, 4096
+PER_LIST, MAX_LISTS = 2048, 4096
 SUBSPACES, CODES = 16, 256
-#: How far differences between linked vectors may lean towards another centroid, in standard
-#: deviations of an even spread over all dimensions; the square root of the dimensions is certain.
-LEAN = 2.5
+#: The share of a link's distance that a vector allows for on its own side of the border to another
+#: list. A link is as long as both sides' shares at most, so with a half no link is lost.
+LEAN = 0.5
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -103,8 +104,7 @@ class Quantizer:
         own = far.argmin(1)
         c = self.centres
         apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))[own]
-        lean = min(1.0, LEAN / math.sqrt(v.shape[1]))
-        return far - far[np.arange(len(v)), own][:, None] <= 2 * math.sqrt(2 - 2 * cosine) * lean * apart + 1e-9
+        return far - far[np.arange(len(v)), own][:, None] <= 2 * math.sqrt(2 - 2 * cosine) * LEAN * apart + 1e-9
 
 
 def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:

@@ -212,3 +212,18 @@ def test_substrings_of_hot_anchors(spark, monkeypatch, least):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(docs).collect()}
     assert got == substring_dedup.brute_force(rows)
     assert any(v[1] for v in got.values())
+
+
+@pytest.mark.parametrize("rank", [2, 4])
+def test_links_across_lists_of_low_rank_groups(spark, monkeypatch, rank):
+    """No link is lost where near copies differ along few directions and lie in many lists."""
+    monkeypatch.setattr(embedding_dedup, "PER_LIST", 8)
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(900, 64))
+    x[:400] = x[0] + rng.normal(size=(400, rank)) @ rng.normal(size=(rank, 64)) * 0.45 / np.sqrt(rank)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link(rows).collect()}
+    assert near.sum() > 10_000 and [got[i] for i in range(900)] == near.sum(1).tolist()
