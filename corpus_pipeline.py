@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, sentencepiece_codec, simhash, substring_dedup, toxicity
+from quillspark.llm import mixing, sentencepiece_codec, shingle_dedup, substring_dedup, toxicity
 from quillspark.llm.common import table
 from quillspark.operators.cuts import cut
 
@@ -15,8 +15,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return shingle_dedup.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,3 +227,32 @@ def test_links_across_lists_of_low_rank_groups(spark, monkeypatch, rank):
     np.fill_diagonal(near, False)
     got = {r.vec_id: r.n_links for r in embedding_dedup.link(rows).collect()}
     assert near.sum() > 10_000 and [got[i] for i in range(900)] == near.sum(1).tolist()
+
+
+def test_near_copies_of_the_pipeline(spark):
+    """The pipeline's stage keeps one of each component that brute force finds at 0.8 by five words."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for k in range(8):  # each change of a word costs up to five shingles
+            own = list(words)
+            for at in rng.integers(0, 120, k // 2 + (i % 2) * 2):
+                own[at] = f"new{at}"
+            texts.append(" ".join(own))
+    texts += ["", " ", "one two", "One  two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    w = [t.lower().split() for t in texts]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else {()} for x in w]
+    root, links = list(range(len(sets))), []
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links.append(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert sum(j < 0.9 for j in links) > 50
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == set(root)
