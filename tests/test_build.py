@@ -71,3 +71,18 @@ def test_staged_build(spark):
     assert got["verified"].select(keys.alias("key")).join(evals, "key", "left_semi").isEmpty()
     again = stages.build(spark, master, evals, lineage, loaded, out, start=4)
     assert {r.stage: r.n for r in stages.counts(again).collect()} == n
+
+
+def test_banded_links_beside_a_smaller_unlike_id(spark):
+    """Links between members of a bucket are found although its smallest id is unlike all of them."""
+    rows = []
+    for g in range(30):
+        base = [g * 1000 + i for i in range(100)]
+        rows.append((g * 10, base[:60]))  # similar to the others by 0.6 only
+        rows += [(g * 10 + k, [*base, -g * 1000 - k]) for k in range(1, 6)]
+    sets = spark.createDataFrame(rows, "id long, grams array<long>")
+    low = {r.id: r.m for r in sets.selectExpr("id", "array_min(transform(grams, g -> xxhash64(g, 0))) as m").collect()}
+    own = {i: set(g) for i, g in rows}
+    want = {(a, b) for a in own for b in own if a < b and low[a] == low[b] and len(own[a] & own[b]) >= 0.9 * len(own[a] | own[b])}
+    got = [(r.a, r.b) for r in dedup.banded_links(sets, permutations=1, bands=1).collect()]
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
