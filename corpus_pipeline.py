@@ -25,13 +25,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture."""
-    return mixing.mix(docs)
+    """All documents, with their slot and position in the mixture."""
+    return mixing.placed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each text's ids and of what they decode to."""
-    return sentencepiece_codec.round_trip(docs, sentencepiece_codec.default_model())
+    """Digests of each text's ids and of what they decode to, with slot and position."""
+    return sentencepiece_codec.round_trip(docs, sentencepiece_codec.default_model(), ("slot", "position"))
 
 
 STAGES = [
@@ -47,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests in the order of the mixture: files keep no order between stages, so slot and position make it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return docs.orderBy("slot", "position").drop("slot", "position")

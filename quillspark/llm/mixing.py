@@ -110,5 +110,11 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_doc
     return rows.repartitionByRange("_slot").sortWithinPartitions("_slot", "_position").select(*docs.columns)
 
 
+def placed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows of docs with slot and position, which order the mixture however the rows are stored and read."""
+    rows = _placed(docs, weights, block_docs)
+    return rows.select(*docs.columns, F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_order(table(spark, sf_dir, "documents"))

@@ -358,8 +358,8 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of each text's ids and of the text decoded from them."""
+def round_trip(docs: DataFrame, path: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Digests of each text's ids and of the text decoded from them; carried: columns that go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -369,9 +369,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     n.append(len(ids))
                     a.append(hashlib.sha256(c.joined(ids)).hexdigest())
                     d.append(hashlib.sha256(c.decode(ids).encode() if len(ids) else b"").hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *b.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
+    kinds = dict(docs.dtypes)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(run, ", ".join([DIGEST, *(f"{c} {kinds[c]}" for c in carried)]))
 
 
 def default_model() -> str:

@@ -256,3 +256,25 @@ def test_near_copies_of_the_pipeline(spark):
     assert sum(j < 0.9 for j in links) > 50
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert got == set(root)
+
+
+def test_pipeline_is_in_the_mixtures_order(spark, monkeypatch, tmp_path):
+    """The result keeps each source within one block of its weight, however stored rows are dealt between stages."""
+    import corpus_pipeline
+
+    source = {i: "abc"[(i % 8 > 3) + (i % 8 > 6)] for i in range(800)}
+    spark.createDataFrame([(i, f"text {i}", s) for i, s in source.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    dealt = ("dealt anew", lambda spark, docs, sf_dir: docs.repartition(5))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("source mixing", stages["source mixing"]), dealt, ("sentencepiece", stages["sentencepiece"])])
+    out = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(out) == sorted(source)
+    left = {s: sum(x == s for x in source.values()) for s in "abc"}
+    weights, block, used = mixing.default_weights(left), mixing.BLOCK_DOCS, dict.fromkeys(left, 0)
+    for at, i in enumerate(out, 1):
+        used[source[i]] += 1
+        if used[source[i]] == left[source[i]]:
+            break
+        if at % block == 0:
+            assert all(abs(used[s] / block - w * at / block / sum(weights.values())) < 1 for s, w in weights.items())
+    assert at > 10 * block
