@@ -1,42 +1,44 @@
 """Embedding near-dedup by product quantisation: coarse inverted lists, residual codes, exact rerank.
 
 Equal vectors are one class. Centroids and codebooks are fitted on a bounded sample. Each class lies
-in the list of its nearest centroid with the codes of its residual and how far they are off. It
-probes every list whose centroid is hardly farther than its own: a vector within the link distance
-could lie there. Of two linked vectors at least one probes the other's list, however their
-difference lies. In a list, distances to all codes come from one lookup table per query; whatever
+in the list of its nearest centroid with the codes of its residual and how far they are off. Two
+vectors in different lists are at least as far apart as both are from the border between them
+together, so a vector probes just the lists whose border is within the link distance, of two lists
+one the other, and there only the members that are close enough to that border: no link is lost,
+however vectors lie. In a list, distances to all codes come from one lookup table per query; whatever
 they don't exclude (the code's error is added, so none is lost) is compared by exact cosine. Counts
 and a forest of the links leave a task, never all pairs.
 
-Nulls and edge cases: vectors that are null, empty, zero, of another length than most, or with null
-or non-finite components link with nothing and are returned with no links as their own component;
-equal vectors link with each other; rows that repeat a vec_id count as one row each and are returned
-each; no vectors give no rows; other columns are ignored.
+Nulls and edge cases: vectors that are null, empty, zero, or with null or non-finite components link
+with nothing and are returned with no links as their own component; vectors of different lengths
+don't link with each other; equal vectors do; rows that repeat a vec_id count as one row each and are
+returned each; a null vec_id is a component's smallest only where all are null; no vectors give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import forest, table
-from quillspark.llm.vectors import load, matrix, meet, sample, unit
+from quillspark.llm.vectors import cosines, lengths, load, matrix, meet, sample, unit
 from quillspark.operators.cuts import cut
 from quillspark.operators.graph import components
 
 COSINE = 0.9
 #: Vectors that centroids and codebooks are fitted on, at most.
 SAMPLE = 50_000
-#: Vectors for each coarse list, and lists at most.
-PER_LIST, MAX_LISTS = 2048, 4096
+#: The coarse lists are as many as the root of the number of vectors over this.
+ROOT_SHARE = 8
 SUBSPACES, CODES = 16, 256
-#: The share of a link's distance that a vector allows for on its own side of the border to another
-#: list. A link is as long as both sides' shares at most, so with a half no link is lost.
-LEAN = 0.5
+#: Queries whose tables are looked up at once.
+AT_ONCE = 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -76,49 +78,69 @@ class Quantizer:
             off += ((part - book[codes[:, j]]) ** 2).sum(1)
         return codes, np.sqrt(off)
 
-    def within(self, residual: np.ndarray, codes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(i, j) where residual i is within most[j] of what row j of codes stands for, asymmetrically, by table lookup.
-
-        The first subspaces are added up for all; the others for those that are not too far yet.
-        """
-        tables = []
+    def tables(self, residual: np.ndarray) -> list[np.ndarray]:
+        """Of each subspace the squared distances of each code (rows) to each residual."""
+        out = []
         for j, book in enumerate(self.books):
             part = residual[:, self.edges[j] : self.edges[j + 1]]
-            tables.append(((part[:, None] - book) ** 2).sum(2).astype(np.float32))
-        limit = (most * most).astype(np.float32)
-        early = min(6, len(tables))
-        total = np.take(tables[0], codes[:, 0], axis=1)
-        for j in range(1, early):
-            total += np.take(tables[j], codes[:, j], axis=1)
-        a, b = np.nonzero(total <= limit)
-        own = total[a, b]
-        for j in range(early, len(tables)):
-            own += tables[j][a, codes[b, j]]
-            keep = own <= limit[b]
-            a, b, own = a[keep], b[keep], own[keep]
-        return a, b
-
-    def probes(self, v: np.ndarray, cosine: float) -> np.ndarray:
-        """Whether each row of v probes each list."""
-        far = (v * v).sum(1)[:, None] - 2 * (v @ self.centres.T) + (self.centres * self.centres).sum(1)
-        own = far.argmin(1)
+            out.append(((book * book).sum(1)[:, None] - 2 * (book @ part.T) + (part * part).sum(1)).astype(np.float32))
+        return out
+
+    def margins(self, v: np.ndarray, own: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """How far each row of v, which is in list own, is from the border to each of the lists to."""
         c = self.centres
-        apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))[own]
-        return far - far[np.arange(len(v)), own][:, None] <= 2 * math.sqrt(2 - 2 * cosine) * LEAN * apart + 1e-9
+        far = (c * c).sum(1) - 2 * (v @ c.T)
+        apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c[to].T + (c[to] * c[to]).sum(1), 1e-18))
+        return (far[:, to] - far[np.arange(len(v)), own][:, None]) / (2 * apart[own])
 
 
-def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row (vec_id, embedding)."""
-    spark = rows.sparkSession
-    good = cut(load(rows), "vectors")
-    classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "classes")
-    many = classes.count()
-    ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if not many:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fitted = Quantizer(sample(classes, SAMPLE), min(MAX_LISTS, max(1, round(many / PER_LIST))))
-    shared = spark.sparkContext.broadcast(fitted)  # lists x dimensions, both bounded
-    near = math.sqrt(2 - 2 * cosine)
+def asks(own: np.ndarray, lists: int) -> np.ndarray:
+    """Whether vectors of list own ask each list: of two lists one asks the other, and each its own."""
+    own, other = own[:, None], np.arange(lists)[None]
+    return np.where((own + other) % 2 == 0, own <= other, own > other)
+
+
+def within(tables: list[np.ndarray], codes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of codes, query) where what the codes stand for is within most of a query, asymmetrically, by table lookup."""
+    total = np.take(tables[0], codes[:, 0], axis=0)
+    row = np.empty_like(total)
+    for j in range(1, len(tables)):
+        total += np.take(tables[j], codes[:, j], axis=0, out=row, mode="clip")
+    return np.nonzero(total <= (most * most).astype(np.float32)[:, None])
+
+
+class Tally:
+    """Links as they are found: how many each vector has, and what they connect."""
+
+    def __init__(self):
+        self.ids, self.n, self.u, self.v = [], [], [], []
+
+    def add(self, x: np.ndarray, y: np.ndarray, x_n: np.ndarray, y_n: np.ndarray) -> None:
+        self.ids += [x, y]
+        self.n += [y_n, x_n]
+        u, v = forest(x, y)
+        self.u.append(u)
+        self.v.append(v)
+        if sum(map(len, self.ids)) > 1 << 20:
+            ids, n = self.counts()
+            self.ids, self.n = [ids], [n]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        ids, at = np.unique(np.concatenate([*self.ids, np.zeros(0, np.int64)]), return_inverse=True)
+        return ids, np.bincount(at, np.concatenate([*self.n, np.zeros(0, np.int64)]), len(ids)).astype(np.int64)
+
+    def rows(self) -> pd.DataFrame:
+        ids, n = self.counts()
+        none = np.zeros(0, np.int64)
+        u, v = forest(np.concatenate([*self.u, none]), np.concatenate([*self.v, none]))
+        return pd.concat([pd.DataFrame({"vec_id": ids, "other": -1, "links": n}), pd.DataFrame({"vec_id": u, "other": v, "links": 0})]).astype("int64")
+
+
+def _links(classes: DataFrame, many: int, cosine: float) -> DataFrame:
+    """(vec_id, other, links) of classes (vec_id, v, n) of one length: counts (links > 0) and edges (links 0)."""
+    fitted = Quantizer(sample(classes, SAMPLE), max(1, round(math.sqrt(many) / ROOT_SHARE)))
+    shared = classes.sparkSession.sparkContext.broadcast(fitted)  # lists x dimensions: the root of all rows
+    near = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,45 +154,73 @@ def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 q, v = shared.value, unit(matrix(pdf["v"]))
-                at, key = np.nonzero(q.probes(v, cosine))
-                own = nearest(v, q.centres)
+                own, lists = nearest(v, q.centres), len(q.centres)
+                at, key = np.nonzero(asks(own, lists) & (q.margins(v, own, np.arange(lists)) <= near))
                 yield pd.DataFrame({"key": key.astype(np.int32), "vec_id": pdf["vec_id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "own": own[at].astype(np.int32)})
 
-    def compare(key: int, members: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        q = shared.value
-        y, x = unit(matrix(members["v"])), unit(matrix(own["v"]))
+    def compare(key: int, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        q, found = shared.value, Tally()
+        y0, x0 = matrix(members["v"]), matrix(asking["v"])
+        y, x = unit(y0), unit(x0)
         codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1)
         most = near + members["off"].to_numpy(np.float64) + 1e-4
-        y_id, x_id = members["vec_id"].to_numpy(np.int64), own["vec_id"].to_numpy(np.int64)
-        y_n, x_n = members["n"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
-        back = q.probes(y, cosine)  # whether the member finds the query by itself
-        x_own = own["own"].to_numpy(np.int64)
-        count, links = {}, []
-        for i in range(0, len(x), 256):
-            part = x[i : i + 256]
-            a, b = q.within(part - q.centres[key], codes, most)
-            keep = (x_id[i + a] != y_id[b]) & ((part[a] * y[b]).sum(1) >= cosine)
-            a, b = i + a[keep], b[keep]
-            links.append((x_id[a], y_id[b]))
-            alone = ~back[b, x_own[a]]
-            for ids_, n in ((x_id[a], y_n[b]), (y_id[b][alone], x_n[a][alone])):
-                who, at = np.unique(ids_, return_inverse=True)
-                for w, c in zip(who.tolist(), np.bincount(at, n, len(who)).tolist(), strict=True):
-                    count[w] = count.get(w, 0) + int(c)
-        u, v = forest(np.concatenate([p[0] for p in links]), np.concatenate([p[1] for p in links]))
-        counts = pd.DataFrame({"vec_id": list(count), "other": -1, "links": list(count.values())})
-        return pd.concat([counts, pd.DataFrame({"vec_id": u, "other": v, "links": 0})]).astype("int64")
+        y_id, x_id = members["vec_id"].to_numpy(np.int64), asking["vec_id"].to_numpy(np.int64)
+        y_n, x_n = members["n"].to_numpy(np.int64), asking["n"].to_numpy(np.int64)
+        x_own = asking["own"].to_numpy(np.int64)
+        for own in np.unique(x_own):
+            mine = np.flatnonzero(x_own == own)
+            to = np.array([own])
+            gap = np.zeros(len(y)) if own == key else q.margins(y, np.full(len(y), key), to)[:, 0]
+            edge = np.zeros(len(mine)) if own == key else q.margins(x[mine], np.full(len(mine), own), np.array([key]))[:, 0]
+            # Both sides from the border on: a query needs the members up to what is left of the distance.
+            mine, edge = mine[np.argsort(edge)], np.sort(edge)
+            order = np.argsort(gap)
+            gap = gap[order]
+            for i in range(0, len(mine), AT_ONCE):
+                part = mine[i : i + AT_ONCE]
+                some = order[: np.searchsorted(gap, near - edge[i] + 1e-9, "right")]
+                if not len(some):
+                    break
+                a, b = within(q.tables(x[part] - q.centres[key]), codes[some], most[some])
+                a, b = some[a], part[b]
+                keep = cosines(x0[b], y0[a]) >= cosine
+                if own == key:
+                    keep &= x_id[b] < y_id[a]
+                a, b = a[keep], b[keep]
+                found.add(x_id[b], y_id[a], x_n[b], y_n[a])
+        return found.rows()
 
     members = classes.mapInPandas(place, "key int, vec_id long, v binary, n long, codes binary, off double")
     queries = classes.mapInPandas(probe, "key int, vec_id long, v binary, n long, own int")
-    found = cut(meet(members, queries, compare, "vec_id long, other long, links long"), "links")
+    return cut(meet(members, queries, compare, "vec_id long, other long, links long"), "links")
+
+
+def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row (vec_id, embedding)."""
+    good = cut(load(rows), "vectors")
+    # Classes have numbers of their own here, as vec_ids may be null or repeat.
+    made = good.groupBy("d", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    classes = cut(made.withColumn("vec_id", F.monotonically_increasing_id()), "classes")
+    ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
+    sizes = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
+    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if not sizes:
+        return alone(ids).withColumn("kept", F.lit(True))
+    parts = [_links(classes.where(F.col("d") == d).select("vec_id", "v", "n"), sizes[d], cosine) for d in lengths(classes)]
+    found = reduce(DataFrame.unionByName, parts)
     reach = components(found.where("links = 0").select(F.col("vec_id").alias("src"), F.col("other").alias("dst")))
     counts = found.where("links > 0").groupBy("vec_id").agg(F.sum("links").alias("links"))
     named = classes.join(counts, "vec_id", "left").join(reach.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
-    out = good.join(named, "v").select("vec_id", "n_links", "component_id")
-    rest = ids.join(out.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    named = named.select("d", "v", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root")
+    least = named.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
+    named = named.join(least, "root", "left").select("d", "v", "n_links", F.coalesce("component_id", "low").alias("component_id"))
+    out = good.join(named, ["d", "v"]).select("vec_id", "n_links", "component_id")
+    # The rows left out, by what they hold: a repeated vec_id may have a good vector and a bad one.
+    e = F.col("embedding").cast("array<double>")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rest = rows.where(F.coalesce((F.size(e) <= 0) | F.exists(e, bad) | F.forall(e, lambda x: x == 0), F.lit(True)))
+    rest = alone(rest.select(F.col("vec_id").cast("long").alias("vec_id")))
+    return out.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

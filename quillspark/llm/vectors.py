@@ -13,49 +13,58 @@ BLOCK = 4096
 
 
 def load(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): embeddings as blobs of doubles.
+    """(vec_id, d, v): embeddings of d components as blobs of doubles.
 
-    Vectors that are null, empty, zero, not of the table's most frequent length, or hold null or
-    non-finite components are left out.
+    Vectors that are null, empty, zero, or hold null or non-finite components are left out.
     """
     e = F.col("embedding").cast("array<double>")
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where(F.col("e").isNotNull())
-    sizes = base.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    n = sizes[0]["n"] if sizes else 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.array([np.asarray(x, np.float64) for x in pdf["e"]]).reshape(len(pdf), -1)
-            with np.errstate(over="ignore", invalid="ignore"):
-                good = np.isfinite(m).all(1) & (np.abs(m).max(1, initial=0) > 0)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[good], "v": [x.tobytes() for x in m[good]]})
+            vectors = [np.asarray(x, np.float64) for x in pdf["e"]]
+            good = np.array([bool(np.isfinite(x).all() and x.any()) for x in vectors], bool)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[good], "d": np.array([len(x) for x in vectors], np.int32)[good], "v": [x.tobytes() for x, ok in zip(vectors, good.tolist(), strict=True) if ok]})
 
-    return base.where((F.size("e") == n) & (F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull())).mapInPandas(run, "vec_id long, v binary")
+    return base.where((F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull())).mapInPandas(run, "vec_id long, d int, v binary")
+
+
+def lengths(vectors: DataFrame) -> list[int]:
+    """The lengths that occur: cosines exist within one only, so each is worked on by itself."""
+    return sorted(r["d"] for r in vectors.select("d").distinct().collect())
 
 
 def matrix(blobs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+    """The vectors, each times a power of two (which changes no cosine, not even its rounding) so that no square over- or underflows."""
+    m = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(1, keepdims=True))[1])
+
+
+def norms(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m * m).sum(1))
 
 
 def unit(m: np.ndarray) -> np.ndarray:
-    """Rows of length one; scaled first so that no square over- or underflows."""
-    m = m / np.abs(m).max(1, keepdims=True)
-    return m / np.sqrt((m * m).sum(1, keepdims=True))
+    """Rows of length one."""
+    return m / norms(m)[:, None]
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x and the same row of y, on the vectors as they are."""
+    return (x * y).sum(1) / (norms(x) * norms(y))
 
 
 def sample(vectors: DataFrame, most: int) -> np.ndarray:
     """Unit vectors of up to ``most`` rows, those whose ids hash lowest."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
+    rows = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
     return unit(matrix(rows["v"])) if len(rows) else np.zeros((0, 0))
 
 
 def meet(members: DataFrame, queries: DataFrame, fn: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
     """fn(key, members, queries) for each pair of blocks of members and queries with the same key.
 
-    Both sides have a column key (of which there are a bounded number) and vec_id; other columns may
-    differ. A key with many rows is dealt out to many tasks, whatever its share of all rows.
+    Both sides have a column key (as many as the root of all rows, about) and vec_id; other columns
+    may differ. A key with many rows is dealt out to many tasks, whatever its share of all rows.
     """
     spark = members.sparkSession
     count = lambda df: {r["key"]: -(-r["count"] // block) for r in df.groupBy("key").count().collect()}

@@ -214,10 +214,10 @@ def test_substrings_of_hot_anchors(spark, monkeypatch, least):
     assert any(v[1] for v in got.values())
 
 
-@pytest.mark.parametrize("rank", [2, 4])
+@pytest.mark.parametrize("rank", [2, 4, 64])
 def test_links_across_lists_of_low_rank_groups(spark, monkeypatch, rank):
     """No link is lost where near copies differ along few directions and lie in many lists."""
-    monkeypatch.setattr(embedding_dedup, "PER_LIST", 8)
+    monkeypatch.setattr(embedding_dedup, "ROOT_SHARE", 0.5)  # 60 lists
     rng = np.random.default_rng(rank)
     x = rng.normal(size=(900, 64))
     x[:400] = x[0] + rng.normal(size=(400, rank)) @ rng.normal(size=(rank, 64)) * 0.45 / np.sqrt(rank)
