@@ -1,76 +1,104 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of vectors. Each vector is represented by its LENGTH nearest pivots in
-order and posted in the inverted files of its POSTED nearest ones. A query opens the files of its
-LENGTH nearest pivots; a vector found in several is judged in the one that is nearest to the vector.
-Pairs are ranked by footrule distance of the two permutations: those within REACH of the largest
-distance are reranked by exact cosine. Nothing caps the number of candidates; queries that found
-fewer than k neighbours are answered by a scan of all blocks.
-
-Nulls and edge cases: vectors that are null, empty, zero, of another length than most, or with null
-or non-finite components take no part; ties go to the smaller vec_id; fewer than k candidates are
-all returned; rows that repeat a vec_id are one candidate each, but none of the query itself; no
-vectors or no queries give no rows; other columns are ignored.
+Pivots, twice the root of the number of vectors, are a bounded sample of them. Each vector is
+represented by its nearest pivots in order (LENGTH of them) and posted in the inverted files of its
+POSTED nearest ones. A query opens the files of its OPENED nearest pivots; a vector found in several
+is judged in the one that is nearest to the vector. As pivots grow with the root, the share of all
+vectors that a query meets falls with it. What is met is ranked by footrule distance of the two
+permutations, and the nearest are reranked by exact cosine: those within the distance that a share
+RERANK / root of all vectors has, which the query tells from a bounded sample. Nothing caps the
+number of candidates; a query that found fewer than k neighbours is answered by a scan in blocks.
+
+Nulls and edge cases: vectors that are null, empty, zero, or with null or non-finite components take
+no part; vectors of different lengths aren't neighbours; ties go to the smaller vec_id; fewer than k
+candidates are all returned; rows that repeat a vec_id are one candidate each, but none of the query
+itself, and a query that is repeated is answered once for all its rows together; a null vec_id is no
+query and no candidate; no vectors or no queries give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.llm.common import table
-from quillspark.llm.vectors import load, matrix, meet, sample, unit
+from quillspark.llm.vectors import cosines, lengths, load, matrix, meet, sample, unit
 from quillspark.operators.cuts import cut
 
-PIVOTS, LENGTH, POSTED = 128, 64, 4
-REACH = 0.70
 K = 5
+#: Pivots for each root of the number of vectors; 65,536 at most, as many as two bytes can name.
+PIVOTS, MOST_PIVOTS = 2, 1 << 16
+#: Pivots in a permutation; of which a vector is posted with; whose files a query opens.
+LENGTH, POSTED, OPENED = 96, 4, 64
+#: The share to be reranked, times the root of the number of vectors; the vectors it is told from.
+RERANK, SAMPLE = 16, 4096
+#: Queries judged at once.
+AT_ONCE = 256
 FOUND = "query_id long, vec_id long, score double"
 
 
 def permutations(v: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each row, nearest first."""
-    return np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :length].astype(np.int16)
-
-
-def places(perm: np.ndarray, n: int) -> np.ndarray:
-    """The place of each of n pivots in each permutation, its length for those that aren't in it."""
-    out = np.full((len(perm), n), perm.shape[1], np.int16)
-    np.put_along_axis(out, perm.astype(np.int64), np.arange(perm.shape[1], dtype=np.int16)[None], 1)
+    near = v @ pivots.T
+    if length < near.shape[1]:
+        some = np.argpartition(-near, length - 1, axis=1)[:, :length]
+    else:
+        some = np.broadcast_to(np.arange(near.shape[1]), near.shape)
+    order = np.lexsort((some, -np.take_along_axis(near, some, 1)), axis=1)
+    return np.take_along_axis(some, order, 1).astype(np.uint16)
+
+
+def footrule(mine: np.ndarray, theirs: np.ndarray, pivots: int) -> np.ndarray:
+    """The distance of each permutation of mine to each of theirs over the pivots of mine; absent ones stand last."""
+    out = np.empty((len(mine), len(theirs)), np.int32)
+    length = theirs.shape[1]
+    at = np.arange(mine.shape[1], dtype=np.int16)[:, None]
+    step = max(64, (1 << 24) // pivots)
+    for a in range(0, len(theirs), step):
+        part = theirs[a : a + step]
+        place = np.full((pivots, len(part)), length, np.int16)
+        place[part.ravel(), np.repeat(np.arange(len(part)), length)] = np.tile(np.arange(length, dtype=np.int16), len(part))
+        for i, row in enumerate(mine):
+            out[i, a : a + step] = np.abs(place[row] - at).sum(0, dtype=np.int32)
     return out
 
 
-def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of each row of places in a to each in b."""
-    out = np.zeros((len(a), len(b)), np.int32)
-    for i, row in enumerate(a):
-        out[i] = np.abs(b - row).sum(1, dtype=np.int32)
-    return out
+def first_files(mine: np.ndarray, posted: np.ndarray, pivots: int) -> np.ndarray:
+    """Of each query (row) and vector the first of the vector's files that the query opens, or -1."""
+    opened = np.zeros((len(mine), pivots), bool)
+    np.put_along_axis(opened, mine.astype(np.int64), True, 1)
+    first = np.full((len(mine), len(posted)), -1, np.int32)
+    for j in reversed(range(posted.shape[1])):
+        first = np.where(opened[:, posted[:, j]], posted[:, j].astype(np.int32)[None], first)
+    return first
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Where the k best are: largest score first, then smallest id."""
-    return np.lexsort((ids, -scores))[:k]
+def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """Of pairs (query, vector) the k best of each query: largest score first, then smallest id."""
+    order = np.lexsort((ids, -scores, q))
+    q = q[order]
+    head = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
+    keep = order[rank < k]
+    return pd.DataFrame({"query_id": q[rank < k], "vec_id": ids[keep], "score": scores[keep]})
 
 
-def _top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, allowed: np.ndarray | None, k: int) -> pd.DataFrame:
-    """The k nearest of v to each of q, where allowed. Scores are summed alike for equal vectors."""
-    rough = q @ v.T
-    rough[q_ids[:, None] == ids] = -9
-    if allowed is not None:
-        rough[~allowed] = -9
+def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest of all v to each of q."""
     out = []
-    for i in range(len(q)):
-        row = rough[i]
-        least = np.partition(row, -k)[-k] if len(row) > k else -5
-        at = np.flatnonzero((row >= least - 1e-9) & (row > -5))
-        exact = (v[at] * q[i]).sum(1)
-        keep = best(ids[at], exact, k)
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[at][keep], "score": exact[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    for i in range(0, len(q), AT_ONCE):
+        part, own = q[i : i + AT_ONCE], q_ids[i : i + AT_ONCE]
+        rough = unit(part) @ unit(v).T
+        rough[own[:, None] == ids] = -9
+        least = np.partition(rough, -k, axis=1)[:, -k] if len(v) > k else np.full(len(part), -5.0)
+        a, b = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -5))
+        out.append(best(own[a], ids[b], cosines(part[a], v[b]), k))
+    return pd.concat(out) if out else best(q_ids[:0], ids[:0], np.zeros(0), k)
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -78,55 +106,73 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, length: int = LENGTH, posted: int = POSTED, reach: float = REACH) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k nearest rows; both of columns vec_id and embedding."""
-    spark = rows.sparkSession
-    every, asked = cut(load(rows), "vectors"), cut(load(queries), "queries")
-    n = every.count()
-    chosen = sample(every, min(pivots, max(1, n // 4)))
-    if not len(chosen):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    p = len(chosen)
-    length, posted = min(length, max(1, p // 2)), min(posted, p)
-    most = reach * length * (length + 1)
-    shared = spark.sparkContext.broadcast(chosen)  # pivots x dimensions, both bounded
-
-    def post(files: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    perm = permutations(unit(matrix(pdf["v"])), shared.value, length)
-                    own = perm[:, :files]
-                    at = np.repeat(np.arange(len(pdf)), own.shape[1])
-                    blobs = np.array([x.tobytes() for x in perm], object)
-                    yield pd.DataFrame({"key": own.ravel().astype(np.int32), "vec_id": pdf["vec_id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "perm": blobs[at]})
-
-        return run
+def _search(every: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank) within vectors (vec_id, v) of one length."""
+    spark, n = every.sparkSession, every.count()
+    pivots = max(1, min(MOST_PIVOTS, round(PIVOTS * math.sqrt(n)), n))
+    drawn = sample(every, max(SAMPLE, pivots))
+    chosen = drawn[:pivots]
+    length, opened, posted = (min(x, pivots) for x in (LENGTH, OPENED, POSTED))
+    others = permutations(drawn[:SAMPLE], chosen, length)
+    shared = spark.sparkContext.broadcast((chosen, others))  # pivots x dimensions: the root of all rows
+    share = min(1.0, RERANK / math.sqrt(n))
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                perm = permutations(unit(matrix(pdf["v"])), shared.value[0], length)
+                at = np.repeat(np.arange(len(pdf)), posted)
+                blobs = np.array([x.tobytes() for x in perm], object)
+                yield pd.DataFrame({"key": perm[:, :posted].ravel().astype(np.int32), "vec_id": pdf["vec_id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "perm": blobs[at]})
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[i : i + AT_ONCE]
+                perm = permutations(unit(matrix(part["v"])), shared.value[0], opened)
+                reach = np.quantile(footrule(perm, shared.value[1], pivots), share, axis=1, method="higher") if share < 1 else np.full(len(part), np.inf)
+                at = np.repeat(np.arange(len(part)), opened)
+                blobs = np.array([x.tobytes() for x in perm], object)
+                yield pd.DataFrame({"key": perm.ravel().astype(np.int32), "vec_id": part["vec_id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "perm": blobs[at], "reach": reach[at].astype(np.float64)})
 
     def judge(key: int, members: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        order = lambda x: np.frombuffer(b"".join(x["perm"]), np.int16).reshape(len(x), -1)
-        perm, mine = order(members), order(own)
-        there, here = places(perm, p), places(mine, p)
-        # A pair is judged in the first of the member's files that the query opens.
-        opened = here < length
-        first = np.full((len(own), len(members)), -1, np.int16)
-        for j in reversed(range(min(posted, perm.shape[1]))):
-            first = np.where(opened[:, perm[:, j]], perm[:, j][None], first)
-        allowed = (first == key) & (footrule(here, there) <= most)
-        ids, q_ids = members["vec_id"].to_numpy(np.int64), own["vec_id"].to_numpy(np.int64)
-        return _top(q_ids, unit(matrix(own["v"])), ids, unit(matrix(members["v"])), allowed, k)
+        order = lambda x: np.frombuffer(b"".join(x["perm"]), np.uint16).reshape(len(x), -1)
+        theirs, mine = order(members), order(own)
+        v, q = matrix(members["v"]), matrix(own["v"])
+        ids, q_ids, reach = members["vec_id"].to_numpy(np.int64), own["vec_id"].to_numpy(np.int64), own["reach"].to_numpy(np.float64)
+        out = []
+        for i in range(0, len(own), AT_ONCE):
+            part = slice(i, i + AT_ONCE)
+            allowed = (first_files(mine[part], theirs[:, :posted], pivots) == key) & (q_ids[part, None] != ids)
+            allowed &= footrule(mine[part], theirs, pivots) <= reach[part, None]
+            a, b = np.nonzero(allowed)
+            out.append(best(q_ids[part][a], ids[b], cosines(q[part][a], v[b]), k))
+        return pd.concat(out) if out else best(q_ids[:0], ids[:0], np.zeros(0), k)
 
     kinds = "key int, vec_id long, v binary, perm binary"
-    found = meet(every.mapInPandas(post(posted), kinds), asked.mapInPandas(post(length), kinds), judge, FOUND)
+    found = meet(every.mapInPandas(post, kinds), asked.mapInPandas(ask, kinds + ", reach double"), judge, FOUND)
     out = cut(_nearest(found, k), "nearest")
-    full = out.groupBy("query_id").count().where(F.col("count") >= min(k, max(0, n - 1))).select(F.col("query_id").alias("vec_id"))
+    full = out.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = cut(asked.join(full, "vec_id", "left_anti"), "short")
-    if not short.isEmpty():
-        scan = lambda key, m, q: _top(q["vec_id"].to_numpy(np.int64), unit(matrix(q["v"])), m["vec_id"].to_numpy(np.int64), unit(matrix(m["v"])), None, k)
-        one = F.lit(0).alias("key")
-        rest = _nearest(meet(every.select(one, "*"), short.select(one, "*"), scan, FOUND), k)
-        kept = out.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
-        out = kept.unionByName(rest)
+    if short.isEmpty():
+        return out
+    scan = lambda key, m, q: _scan(q["vec_id"].to_numpy(np.int64), matrix(q["v"]), m["vec_id"].to_numpy(np.int64), matrix(m["v"]), k)
+    one = F.lit(0).alias("key")
+    rest = _nearest(meet(every.select(one, "*"), short.select(one, "*"), scan, FOUND), k)
+    kept = out.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return kept.unionByName(rest)
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k nearest rows; both of columns vec_id and embedding."""
+    spark = rows.sparkSession
+    every, asked = (cut(load(df).where("vec_id is not null"), name) for df, name in ((rows, "vectors"), (queries, "queries")))
+    of = lambda df, d: df.where(F.col("d") == d).select("vec_id", "v")
+    parts = [_search(of(every, d), of(asked, d), k) for d in sorted(set(lengths(every)) & set(lengths(asked)))]
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = reduce(DataFrame.unionByName, parts)
+    out = _nearest(out, k) if len(parts) > 1 else out  # a repeated query may have vectors of several lengths
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
