@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space of the word patterns: \x20 and \x09-\x0D, as bytes.split() takes it.
 SPACE = np.zeros(256, bool)
@@ -38,3 +38,40 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = label[label]
     moved = label != np.arange(len(nodes))
     return nodes[moved], nodes[label[moved]]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores after it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(doc_id: str, text_hash) -> F.Column:
+    """What tells rows apart but for repeats of both doc_id and text: both in one string."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text_hash)
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of docs (doc_id, text, ...) for each component of named (doc_id, th, component), th a hash of the text.
+
+    It is the row with the smallest doc_id, null last, and the smallest th where that repeats; of rows
+    that repeat both, one.
+    """
+    from quillspark.operators.cuts import cut
+
+    rows = cut(named.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")), "components")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f"))
+    first = first.select("component", row_key("f.doc_id", F.col("f.th")).alias("first_row"))
+    (key,) = fresh(docs, "row_key")
+    marked = rows.withColumn(key, row_key("doc_id", F.col("th"))).join(first, "component").select(key, "n", (F.col(key) == F.col("first_row")).alias("stays"))
+    given = docs.withColumn(key, row_key("doc_id", F.xxhash64("text")))
+    # Most rows stay and occur once: they are those that are neither gone nor repeated.
+    plain = given.join(marked.where("not stays or n > 1").select(key), key, "left_anti")
+    again = given.join(marked.where("stays and n > 1").select(key), key, "left_semi").dropDuplicates([key])
+    return plain.unionByName(again).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.common import as_bytes, forest, table
+from quillspark.llm.common import as_bytes, forest, one_of_each, table
 from quillspark.operators.cuts import cut
 from quillspark.operators.graph import components
 
@@ -57,12 +57,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.array([fingerprint(x) for x in as_bytes(batch.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], ["doc_id", "fp", "th"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, th): the fingerprint's bits as a signed long, a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(_fingerprints, "doc_id long, fp long, th long")
 
 
 def _flips(bits: range, many: int) -> np.ndarray:
@@ -140,20 +140,19 @@ def ball_links(fps: DataFrame, n: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable by links."""
+    """(doc_id, fp, th, component_id) for each row: component_id is the smallest doc_id reachable by links."""
     own = cut(fingerprints(docs), "fingerprints")
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     reach = components(ball_links(classes, classes.count()))
     rooted = classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left")
     low = rooted.where("root is not null").groupBy("root").agg(F.min("first_id").alias("low"))
     named = cut(rooted.join(low, "root", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")), "named")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return own.join(named, "fp").select("doc_id", "fp", "th", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component (rows with a null doc_id are kept)."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays, with all its columns: see one_of_each."""
+    return one_of_each(docs, near_duplicates(docs).withColumnRenamed("component_id", "component"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
