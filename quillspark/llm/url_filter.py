@@ -2,19 +2,23 @@
 
 A cascade is exact over a complete key universe: level 0 encodes the listed keys, level 1 the other
 keys of the universe that level 0 takes for listed, level 2 the listed ones that level 1 holds, and
-so on until a level errs on none. Membership is then a column expression over constant bit arrays,
-without a join. The universe of rules is every host suffix and path beginning (of the rules'
-lengths) in the corpus; that of listed hosts is every host in it.
+so on until a level errs on none. Level 0 has as many hash functions as the universe is larger than
+the list, in bits, so the levels together take a few bytes a listed key. Keys are dealt to shards by a hash,
+each with a small cascade of its own: a row meets its shard's bit arrays, never the list, whatever
+its size. The cascades of rules, which come with the call, are constants of the plan. The universe of
+rules is every host suffix and path beginning (of the rules' lengths) in the corpus; that of listed
+hosts is every host in it.
 
 Nulls and edge cases: a null url, or one without ://, has empty host and path, fits no rule and is
-allowed unless the empty host is listed; rows are judged each, repeated or not; empty tables give
-no rows; other columns are ignored. Of fitting rules of equal length the longer host wins.
+allowed unless the empty host is listed; rows are judged each, repeated or not; null page_ids are kept;
+empty tables give no rows; an empty list marks nothing; other columns are ignored. Of fitting rules
+of equal length the longer host wins.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,9 +27,10 @@ from quillspark.operators.cuts import cut
 
 #: Rules: key (host and beginning of the path) and verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-BITS_PER_KEY, HASHES = 10, 5
-#: Bits of one level that may go along with a plan (8 MB); larger lists are joined instead.
-MAX_BITS = 1 << 26
+#: Hash functions of level 0 at most, and of the levels above.
+MOST_HASHES, HASHES = 32, 6
+#: Listed keys of a shard, about: its levels take some 200 KB.
+SHARD_KEYS = 100_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -51,93 +56,110 @@ def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_sort(F.transform(ordered, lambda x: F.struct(x["n"], (-x["host"]).alias("host"), x["key"]))), lambda x: x["key"])
 
 
-def _positions(key: Column, level: int, m: int) -> list[Column]:
-    a, b = (F.pmod(F.xxhash64(key, F.lit(2 * level + i)), F.lit(m)) for i in (0, 1))
-    return [F.pmod(a + F.lit(i) * b, F.lit(m)) for i in range(HASHES)]
+def _positions(key: Column, level: int, m: Column, hashes: int) -> list[Column]:
+    a, b = (F.pmod(F.xxhash64(key, F.lit(2 * level + i)), m) for i in (0, 1))
+    return [F.pmod(a + F.lit(i) * b, m) for i in range(hashes)]
 
 
-def _hit(key: Column, level: int, m: int, held: list[int]) -> Column:
+def _hit(key: Column, level: int, m: Column, words: Column, hashes: int) -> Column:
     """Whether a level's bits hold a key."""
-    words = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded to a constant
-    bits = [F.getbit(F.element_at(words, F.floor(p / 64).cast("int") + 1), (p % 64).cast("int")) == 1 for p in _positions(key, level, m)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out & b
-    return out
+    bits = [F.getbit(F.element_at(words, F.floor(p / 64).cast("int") + 1), (p % 64).cast("int")) == 1 for p in _positions(key, level, m, hashes)]
+    return reduce(lambda x, y: x & y, bits)
 
 
-@dataclass
-class Cascade:
-    """levels: of each its number of bits and the long words that hold them."""
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)).cast("int")
 
-    levels: list[tuple[int, list[int]]]
 
-    def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
-        out = F.lit(len(self.levels) % 2 == 1)
-        for level, (m, held) in reversed(list(enumerate(self.levels))):
-            out = F.when(_hit(key, level, m, held), out).otherwise(F.lit(level % 2 == 1))
-        return F.coalesce(out, F.lit(False))
+def _level(keys: DataFrame, level: int, hashes: int) -> DataFrame:
+    """(shard, m, words) of keys (shard, key): the bits of each shard and the long words that hold them."""
+    per_key = math.ceil(1.45 * hashes)
+    sizes = keys.groupBy("shard").agg((F.greatest(F.lit(1), F.ceil(F.count("*") * per_key / 64)) * 64).cast("long").alias("m"))
+    at = keys.join(F.broadcast(sizes), "shard").select("shard", "m", F.explode(F.array(*_positions(F.col("key"), level, F.col("m"), hashes))).alias("p"))  # a row for each shard is broadcast
+    held = at.groupBy("shard", "m", F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    empty = sizes.select("shard", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("m div 64 - 1"))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = held.unionByName(empty).groupBy("shard", "m", "word").agg(F.max(F.struct(F.col("bits") != 0, "bits"))["bits"].alias("bits"))
+    made = words.groupBy("shard", "m").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))  # a shard's words: bounded
+    return cut(made.select("shard", "m", F.transform("w", lambda x: x["bits"]).alias("words")), "level")
 
 
-def _level(keys: DataFrame, level: int, n: int) -> tuple[int, list[int]]:
-    m = max(64, 64 * math.ceil(n * BITS_PER_KEY / 64))
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, m))).alias("p")).distinct()
-    rows = at.groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).collect()  # m / 64 rows at most
-    words = [0] * (m // 64)
-    for r in rows:
-        words[r["word"]] = r["bits"]
-    return m, words
-
-
-def build(listed: DataFrame, universe: DataFrame) -> Cascade | None:
-    """The cascade of listed keys over universe (both of column key); None if it is too large to go along."""
-    inside = cut(listed.where("key is not null").distinct(), "listed")
-    outside = cut(universe.where("key is not null").distinct().join(inside, "key", "left_anti"), "unlisted")
-    sides, levels = [inside, outside], []
-    n = inside.count()
-    while n:
-        level = len(levels)
-        if n * BITS_PER_KEY > MAX_BITS:
-            return None
-        levels.append(_level(sides[level % 2], level, n))
-        other = 1 - level % 2
-        sides[other] = cut(sides[other].where(_hit(F.col("key"), level, *levels[level])), "cascade")
-        n = sides[other].count()
-    return Cascade(levels)
-
-
-def mark(rows: DataFrame, key: str, listed: DataFrame, universe: DataFrame, name: str) -> DataFrame:
-    """rows with a boolean column name: whether key is listed; by the cascade, or by a join if that is too large."""
-    cascade = build(listed, universe)
-    if cascade:
-        return rows.withColumn(name, cascade.contains(F.col(key)))
-    own = listed.select(F.col("key").alias("_listed")).distinct()
-    return rows.join(own, F.col(key) == F.col("_listed"), "left").withColumn(name, F.col("_listed").isNotNull()).drop("_listed")
+class Cascade:
+    """levels: of each its frame (shard, m, words) and how many hash functions it has."""
+
+    def __init__(self, listed: DataFrame, universe: DataFrame, shards: int | None = None):
+        """The cascade of listed keys over universe, both of column key; shards: as many as the list needs, unless given."""
+        inside = cut(listed.where("key is not null").distinct(), "listed")
+        n = inside.count()
+        self.shards = shards or max(1, math.ceil(n / SHARD_KEYS))
+        dealt = lambda df: df.select(_shard(F.col("key"), self.shards).alias("shard"), "key")
+        outside = cut(dealt(universe.where("key is not null").distinct().join(inside, "key", "left_anti")), "unlisted")
+        sides, hashes = [dealt(inside), outside], max(1, min(MOST_HASHES, math.ceil(math.log2(max(2, outside.count() / max(1, n))))))
+        self.levels: list[tuple[DataFrame, int]] = []
+        while n:
+            level, other = len(self.levels), 1 - len(self.levels) % 2
+            made = _level(sides[level % 2], level, hashes)
+            self.levels.append((made, hashes))
+            mistaken = sides[other].join(made, "shard").where(_hit(F.col("key"), level, F.col("m"), F.col("words"), hashes))
+            sides[other], hashes = cut(mistaken.select("shard", "key"), "cascade"), HASHES
+            n = sides[other].count()
+
+    def _decide(self, key: Column, levels: list[tuple[Column, Column]]) -> Column:
+        """levels: m and words of each level, null where a shard has no such level: all that came so far hold."""
+        out = F.lit(len(levels) % 2 == 1)
+        for i, (m, words) in reversed(list(enumerate(levels))):
+            out = F.when(m.isNull(), F.lit(i % 2 == 1)).when(_hit(key, i, m, words, self.levels[i][1]), out).otherwise(F.lit(i % 2 == 1))
+        return F.coalesce(out, F.lit(False))
+
+    def constant(self) -> list[tuple[int, list[int]]]:
+        """The levels of a cascade of one shard, for lists that come with a call."""
+        rows = [made.first() for made, _ in self.levels]
+        return [(r["m"], r["words"]) for r in rows]
+
+    def contains(self, key: Column, held: list[tuple[int, list[int]]]) -> Column:
+        """Whether a key of the universe is listed; held: what constant() gave."""
+        words = [F.split(F.lit(",".join(map(str, w))), ",").cast("array<bigint>") for _, w in held]  # folded to constants
+        return self._decide(key, [(F.lit(m).cast("long"), w) for (m, _), w in zip(held, words, strict=True)])
+
+    def mark(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows with a boolean column name: whether key, one of the universe, is listed.
+
+        Rows meet their shard's bits; bits that are small go to every task, else rows go by shard, and
+        the shard of a hot key is split like any skewed side of a join.
+        """
+        if not self.levels:
+            return rows.withColumn(name, F.lit(False))
+        both = self.levels[0][0].select("shard", F.struct("m", "words").alias("l0"))
+        for i, (made, _) in enumerate(self.levels[1:], 1):
+            both = both.join(made.select("shard", F.struct("m", "words").alias(f"l{i}")), "shard", "left")
+        both = cut(both.withColumnRenamed("shard", f"{name}_shard"), "shards")
+        met = rows.withColumn(f"{name}_shard", _shard(F.coalesce(F.col(key), F.lit("")), self.shards)).join(both, f"{name}_shard", "left")
+        levels = [(F.col(f"l{i}.m"), F.col(f"l{i}.words")) for i in range(len(self.levels))]
+        return met.select(*rows.columns, self._decide(F.col(key), levels).alias(name))
 
 
 def _own_keys(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("key"))
 
 
-def judge(pages: DataFrame, listed_hosts: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def judge(pages: DataFrame, listed_hosts: DataFrame, rules: dict[str, str] = RULES, shards: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict): the longest fitting rule's verdict, else block for listed hosts.
 
-    listed_hosts: rows of column key. Rules are few and come with the call.
+    listed_hosts: rows of column key, however many. Rules are few and come with the call.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = mark(rows, "host", listed_hosts, rows.select(F.col("host").alias("key")), "listed")
+    rows = Cascade(listed_hosts, rows.select(F.col("host").alias("key")), shards).mark(rows, "host", "listed")
     lengths = sorted({len(k) - k.index("/") for k in rules})
     if rules:
         keys = rule_keys(F.col("host"), F.col("path"), lengths)
         universe = cut(rows.select(F.explode(keys).alias("key")).distinct(), "universe")
-        kinds = {v: build(_own_keys(spark, [k for k, x in rules.items() if x == v]), universe) for v in ("allow", "block") if v in rules.values()}
-        if None in kinds.values():
-            raise ValueError("rules are a short list; put long lists into listed_hosts")
-        hits = {v: c.contains for v, c in kinds.items()}
-        fit = F.filter(keys, lambda k: _any([f(k) for f in hits.values()]))
+        hits = {}
+        for v in ("allow", "block"):
+            if own := [k for k, x in rules.items() if x == v]:
+                made = Cascade(_own_keys(spark, own), universe, 1)
+                hits[v] = lambda k, made=made, held=made.constant(): made.contains(k, held)
+        fit = F.filter(keys, lambda k: reduce(lambda x, y: x | y, [f(k) for f in hits.values()]))
         rows = rows.withColumn("rule", F.get(fit, F.lit(0)))
         verdict = F.lit(None).cast("string")
         for v, f in hits.items():
@@ -148,13 +170,6 @@ def judge(pages: DataFrame, listed_hosts: DataFrame, rules: dict[str, str] = RUL
     return rows.select("page_id", "host", "path", "rule", F.coalesce(ruled, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
 def sample_list(pages: DataFrame) -> DataFrame:
     """A stand-in for a published block list: the hosts whose MD5 starts with 0 or 1."""
     host, _ = split_url(F.col("url"))
