@@ -24,8 +24,6 @@ from quillspark.llm.common import table
 BLOCK_DOCS = 16
 #: Slots of a period, about; sources, at most: their counts and one period's slots are gathered.
 PERIOD, MAX_SOURCES = 1000, 10_000
-#: Documents that are ranked in one task, about.
-RANKED = 1000
 
 
 def schedule(weights: list[int]) -> list[tuple[int, int, int]]:
@@ -62,36 +60,35 @@ def _key(source: Column) -> Column:
 
 
 def _placed(docs: DataFrame, weights: dict[str | None, int] | None, block_docs: int) -> DataFrame:
-    """docs with _slot and _position (in the block), _block (of the source)."""
+    """(row, source, block, slot, position) of docs, row being all columns of docs in one."""
     spark = docs.sparkSession
-    rows = docs.withColumn("_s", _key(F.col("source"))).withColumn("_h", F.xxhash64("doc_id", "text"))
-    found = {r["_s"]: r["count"] for r in rows.groupBy("_s").count().limit(MAX_SOURCES + 1).collect()}
+    rows = docs.select(F.struct("*").alias("row"), "source", _key(F.col("source")).alias("s"), "doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    found = {r["s"]: r["count"] for r in rows.groupBy("s").count().limit(MAX_SOURCES + 1).collect()}
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     names = sorted(found)
     given = {None if s == "null" else s[1:]: n for s, n in found.items()}
     weights = default_weights(given) if weights is None else weights
     own = [weights[None if s == "null" else s[1:]] for s in names]
-    # Ranks in a source without one task for it: by ranges of the hash, then within each.
-    sizes = ", ".join(f"('{s}', {found[s]}L, {w}L)" for s, w in zip(_quoted(names), own, strict=True)) or "('', 0L, 1L)"
-    total = spark.sql(f"SELECT * FROM VALUES {sizes} AS t(_s, _n, _w)").where("_n > 0")
-    rows = rows.join(F.broadcast(total), "_s")
-    parts = F.ceil(F.col("_n") / RANKED)
-    rows = rows.withColumn("_part", F.floor(F.shiftrightunsigned("_h", 34) * parts / (1 << 30)).cast("long"))
-    each = rows.groupBy("_s", "_part").agg(F.count("*").alias("_own"))
-    before = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = each.select("_s", "_part", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_s", "_part").orderBy("_h", "doc_id")
-    rows = rows.withColumn("_rank", F.row_number().over(within)).join(start, ["_s", "_part"])
-    rank = F.col("_start") + F.col("_rank") - 1
-    rows = rows.withColumn("_block", F.floor(rank / block_docs)).withColumn("_position", (rank % block_docs).cast("int"))
+    # Ranks in a source without one task for it: by ranges of the hash, then within each. A source has the root
+    # of its rows of them, so neither the ranges nor the rows of one are many.
+    sizes = ", ".join(f"('{s}', {math.ceil(math.sqrt(found[s]))}L, {w}L)" for s, w in zip(_quoted(names), own, strict=True)) or "('', 1L, 1L)"
+    rows = rows.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {sizes} AS t(s, parts, w)")), "s")
+    rows = rows.withColumn("part", F.floor(F.shiftrightunsigned("h", 34) * F.col("parts") / (1 << 30)).cast("long"))
+    each = rows.groupBy("s", "part").agg(F.count("*").alias("own"))
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = each.select("s", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("s", "part").orderBy("h", "doc_id")
+    rows = rows.withColumn("rank", F.row_number().over(within)).join(start, ["s", "part"])
+    rank = F.col("start") + F.col("rank") - 1
+    rows = rows.withColumn("block", F.floor(rank / block_docs)).withColumn("position", (rank % block_docs).cast("int"))
     period = schedule(own) if own else []
     slots = ", ".join(f"({i}, {k}L, {slot}L)" for i, k, slot in period) or "(0, 0L, 0L)"
-    order = spark.sql(f"SELECT * FROM VALUES {slots} AS t(_i, _k, _at)")
-    index = spark.sql("SELECT * FROM VALUES " + (", ".join(f"('{s}', {i})" for i, s in enumerate(_quoted(names))) or "('', 0)") + " AS t(_s, _i)")
-    order = order.join(F.broadcast(index), "_i").drop("_i")
-    rows = rows.withColumn("_k", F.col("_block") % F.col("_w")).join(F.broadcast(order), ["_s", "_k"])
-    return rows.withColumn("_slot", F.floor(F.col("_block") / F.col("_w")) * sum(own) + F.col("_at"))
+    order = spark.sql(f"SELECT * FROM VALUES {slots} AS t(i, k, at)")
+    index = spark.sql("SELECT * FROM VALUES " + (", ".join(f"('{s}', {i})" for i, s in enumerate(_quoted(names))) or "('', 0)") + " AS t(s, i)")
+    order = order.join(F.broadcast(index), "i").drop("i")
+    rows = rows.withColumn("k", F.col("block") % F.col("w")).join(F.broadcast(order), ["s", "k"])
+    return rows.select("row", "source", "block", (F.floor(F.col("block") / F.col("w")) * sum(own) + F.col("at")).alias("slot"), "position")
 
 
 def _quoted(names: list[str]) -> list[str]:
@@ -101,19 +98,19 @@ def _quoted(names: list[str]) -> list[str]:
 def mix_order(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, source, block, slot, position): slot orders the mixture, position the documents of a block."""
     rows = _placed(docs.select("doc_id", "source", "text"), weights, block_docs)
-    return rows.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "position")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """All rows of docs in the mixture's order: partitions follow each other, rows in them too."""
-    rows = _placed(docs, weights, block_docs)
-    return rows.repartitionByRange("_slot").sortWithinPartitions("_slot", "_position").select(*docs.columns)
+def placed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows of docs with slot and position, which order the mixture however the rows are stored and read; given columns of these names are replaced."""
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "position")]
+    return _placed(docs, weights, block_docs).select(*[F.col("row")[c].alias(c) for c in kept], "slot", "position")
 
 
-def placed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """All rows of docs with slot and position, which order the mixture however the rows are stored and read."""
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows of docs in the mixture's order: partitions follow each other, rows in them too."""
     rows = _placed(docs, weights, block_docs)
-    return rows.select(*docs.columns, F.col("_slot").alias("slot"), F.col("_position").alias("position"))
+    return rows.repartitionByRange("slot").sortWithinPartitions("slot", "position").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
