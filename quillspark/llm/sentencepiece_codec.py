@@ -90,11 +90,9 @@ class Codes(dict):
 
 
 class Codec:
-    """A BPE model file with identity normalisation, a dummy prefix and byte fallback."""
+    """A BPE model (the bytes of its file) with identity normalisation, a dummy prefix and byte fallback."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            model = f.read()
+    def __init__(self, model: bytes):
         pieces, self.prefix = [], True
         for number, value in _fields(model):
             if number == 1:
@@ -303,14 +301,21 @@ class Codec:
         return self.digits.gather(ids).tobytes()[:-1]
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
+
 
+class Shipped:
+    """A model file that the driver reads and the executors get with the job; each worker builds its codec once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, "rb") as f:
+            model = f.read()
+        self.name, self.model = hashlib.sha256(model).digest(), spark.sparkContext.broadcast(model)
 
-def codec(path: str) -> Codec:
-    """This worker's codec of a model file."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    def codec(self) -> Codec:
+        if self.name not in _codecs:
+            _codecs[self.name] = Codec(self.model.value)
+        return _codecs[self.name]
 
 
 #: Bytes of text that are cut into words at once.
@@ -335,10 +340,11 @@ def _texts(column: pa.Array) -> list[str]:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the ids of each whole text."""
+    shipped = Shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [x for part in _slices(_texts(b.column(1))) for x in codec(path).encode(part)]
+            ids = [x for part in _slices(_texts(b.column(1))) for x in shipped.codec().encode(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -346,10 +352,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give null."""
+    shipped = Shipped(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [None if x is None else codec(path).decode(np.array(x, np.int64)) if x else "" for x in b.column(1).to_pylist()]
+            text = [None if x is None else shipped.codec().decode(np.array(x, np.int64)) if x else "" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -360,10 +367,11 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def round_trip(docs: DataFrame, path: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """Digests of each text's ids and of the text decoded from them; carried: columns that go along."""
+    shipped = Shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, n, a, d = codec(path), [], [], []
+            c, n, a, d = shipped.codec(), [], [], []
             for part in _slices(_texts(b.column(1))):
                 for ids in c.encode(part):
                     n.append(len(ids))

@@ -71,7 +71,8 @@ def test_sentencepiece(spark):
         ids = sp.encode(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((sp.decode(ids) if ids else "").encode()).hexdigest()
-    codec = sentencepiece_codec.Codec(path)
+    with open(path, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
     rng = np.random.default_rng(0)
     odd = ["".join(rng.choice(list("abcthe  ▁\n\té漢😀,.-<s>0"), n)) for n in rng.integers(1, 40, 2000)]
     assert [x.tolist() for x in codec.encode(odd)] == sp.encode(odd)
