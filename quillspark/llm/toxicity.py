@@ -30,8 +30,6 @@ from quillspark.operators.cuts import cut
 
 #: Labelled rows that the lexicon is learned from, at most; taken by a hash of their id.
 MAX_LABELLED = 50_000
-#: Entries of the lexicon, at most: the heaviest.
-MAX_TERMS = 20_000
 #: The least lower bound (two standard errors) of an entry's log odds.
 LEAST = 1.2
 #: Toxic documents with an entry for each clean one, at least.
@@ -123,19 +121,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not n.get(1):
         return {}
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label"), "labelled")
     counts = rows.mapInArrow(_count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     tried = cut(counts.where("toxic >= 3"), "terms")
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
     bound = odds - 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = tried.where(F.col("toxic") >= PURITY * F.col("clean")).withColumn("w", odds).withColumn("bound", bound).where(F.col("bound") > LEAST)
-    best = {r["term"]: r for r in best.orderBy(F.desc("bound"), "term").limit(MAX_TERMS).collect()}
+    # What the bounded number of labelled rows holds bounds the entries.
+    best = {r["term"]: r for r in best.collect()}
     wanted = docs.sparkSession.sparkContext.broadcast(set(best))
     found = rows.mapInArrow(lambda batches: _contexts(batches, wanted.value), "term string, label int, around long").distinct().groupBy("term").pivot("label", [0, 1]).count()
     share = n[1] / (n[1] + n.get(0, 0))
     least = math.log(max(1, tried.count()) / CHANCE)
     out = {}
-    for r in found.na.fill(0).collect():  # at most MAX_TERMS rows
+    for r in found.na.fill(0).collect():
         b = best[r["term"]]
         if evidence(min(b["toxic"], r["1"]), min(b["clean"], r["0"]), share) > least:
             out[r["term"]] = round(b["w"], 6)
