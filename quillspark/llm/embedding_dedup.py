@@ -225,3 +225,13 @@ def link(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, v, len(v) AS d, sqrt(list_dot_product(v, v)) AS s FROM e),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.9),
+r(x, y) AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY 1), l AS (SELECT x, count(*) AS n FROM p GROUP BY 1),
+o AS (SELECT vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, CAST(coalesce(least(c.low, vec_id), vec_id) AS BIGINT) AS component_id FROM embeddings LEFT JOIN l ON l.x = vec_id LEFT JOIN c ON c.x = vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM o"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_nearest_neighbours": ann.query,
 }
 
-ORACLE_SQL = {"op3_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE}
+ORACLE_SQL = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op2_license_scan": license_scan.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
+}

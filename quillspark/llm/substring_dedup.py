@@ -377,6 +377,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+w AS (SELECT s.doc_id, s.i, array_to_string(d.ws[s.i : s.i + 12], ' ') AS t FROM s JOIN d USING (doc_id)),
+f AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.i FROM w JOIN f USING (t) WHERE w.doc_id > f.first),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g),
+k AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM c GROUP BY 1),
+a AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM k)),
+t AS (SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.i) AS kept FROM a LEFT JOIN c USING (doc_id, i) WHERE c.i IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN k.n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(t.kept, '') END) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
     """doc_id to (n_words, n_removed, kept_sha256), for tests; doc_ids are distinct."""
     split = {i: (t or "").encode().split() for i, t in rows}
