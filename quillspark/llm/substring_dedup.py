@@ -1,16 +1,19 @@
-r"""Substring dedup: windows of 13 words that start in an earlier document, found by partitioned suffix trees.
-
-Words are [^\x20\x09-\x0D]+. Suffixes start at every word and matter to a depth of 13 words. Each is
-assigned to the anchor of its first 13 words: the run of GRAM words in them with the least hash
-(leftmost of equals), so equal windows have equal anchors, and neighbouring suffixes share one. Anchors
-that occur in one document only are dropped first. The rest split the suffixes into groups of about
-GROUP_CHARS; neighbours of one anchor travel as one stretch of words. In a group the tree of its
-suffixes is built top down, by edges of a few words; nodes with leaves of one document are cut off, and
-the nodes at depth 13 that are left are the repeats: all leaves but those of the smallest doc_id go.
-
-An anchor that occurs more often than a sixty-fourth of a group's share of the text is hot. Its prefix is
-extended to the whole window: each of its windows travels alone, to a group of its own hash. At most 32
-hot anchors for each group can exist, so their list is small.
+r"""Substring dedup: windows of 13 words that start in an earlier document, found by prefix-partitioned suffix trees.
+
+Words are [^\x20\x09-\x0D]+. Suffixes start at every word and matter from a depth of 13 words. A suffix's
+prefix, by which it is assigned, is as long as it takes to the end of its anchor: the run of GRAM
+words with the least hash (leftmost of equals) among its first 13 words, so prefixes have 4 to 13 words, and equal
+windows have equal ones. Prefixes with one anchor are counted together and go to one group, as
+neighbouring suffixes share it and can travel as one stretch of words. Anchors that occur in one
+document only are dropped first. The rest split the suffixes into groups of about GROUP_CHARS, however
+many. A prefix that occurs more often than a sixty-fourth of a group's share of the text is extended to the
+whole window: each of its windows goes to a group of its own hash, and there in two rounds, the first
+dealt anew by the slice it comes from, so that not even one window of all documents meets in one task.
+
+In a group the tree of its suffixes is built top down: nodes split by the words that follow, several at
+once where nodes are shallow, and subtrees with leaves of one document are cut off. The deep internal
+nodes that are left, at 13 words or more, are the repeats: all leaves but those of the smallest doc_id
+go. Overlapping windows that go make up the maximal repeated passages of a document.
 
 What travels is bounded by what repeats: in one slice of a task, an anchor known to several documents
 is sent once, and equal stretches of a slice are sent for the first document alone, once with all their starts.
@@ -18,12 +21,13 @@ is sent once, and equal stretches of a slice are sent for the first document alo
 Nulls and edge cases: null text has no words; texts shorter than 13 words lose nothing; a repeat within
 one document alone, or in rows of equal doc_id, is kept; a null doc_id counts as larger than all others;
 rows with equal doc_id are judged by their own text each; no documents give no rows; other columns are
-ignored (removals) or carried along (strip_repeats).
+ignored (removals, passages, digests) or carried along, whatever their names (strip_repeats).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.common import SPACE, as_bytes, table
+from quillspark.llm.common import SPACE, as_bytes, fresh, table
 from quillspark.operators.cuts import cut, release, remove
 
 WINDOW, GRAM = 13, 4
-#: Edges of the tree, in words.
-EDGES = ((0, 4), (4, 8), (8, 13))
+#: Words by which nodes split at once above the depth of a window.
+STEPS = (4, 4, 5)
 #: Characters of text for each group of suffixes, and bytes that are cut into words at once.
 GROUP_CHARS, SLICE = 16 << 20, 4 << 20
 #: An anchor is hot beyond this share of a group's characters; below LEAST_HOT occurrences none is.
@@ -134,13 +138,14 @@ def _anchors(groups: int):
                 key, own, place = key[send], own[send], place[send]
                 bucket = (key >> np.uint64(32)) % np.uint64(groups)
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(groups + 1).astype(np.uint64))
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    at = order[cuts[k] : cuts[k + 1]]
-                    rows.append((k, key[at].tobytes(), own[at].tobytes(), place[at].tobytes()))
+                sorted_ = bucket[order]
+                cuts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1], True]) if len(order) else [0]
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    at = order[x:y]
+                    rows.append((int(sorted_[x]), key[at].tobytes(), own[at].tobytes(), place[at].tobytes()))
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "ids", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "keys", "ids", "places"])
 
     return run
 
@@ -167,11 +172,12 @@ def _repeated(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.concat([found, pd.DataFrame({"dk": none, "place": none.astype("Int32"), "hot": pd.array(hot.view(np.int64), "Int64")})])
 
 
-STRETCH = "bucket int, dk long, th long, starts binary, n int, words binary"
+#: again: the group of the second round, of windows that travel alone.
+STRETCH = "bucket long, again long, dk long, th long, starts binary, n int, words binary"
 
 
-def _stretches(groups: int, hot: np.ndarray):
-    """Rows (bucket, dk, th, starts, n, words): n windows from each of the words starts on; without words, known to go."""
+def _stretches(groups: int, salts: int, hot):
+    """Rows of STRETCH: n windows from each of the words starts on; without words, known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,7 +194,7 @@ def _stretches(groups: int, hot: np.ndarray):
                 window, anchor, key = window[keep], anchor[keep], key[keep]
                 if not len(window):
                     continue
-                alone = np.isin(key, hot)
+                alone = np.isin(key, hot.value)
                 key[alone] = _mix(key[alone] ^ w.window_hashes(window[alone]))
                 head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1) | alone[1:]])
                 n = np.diff(np.append(head, len(window)))
@@ -207,13 +213,18 @@ def _stretches(groups: int, hot: np.ndarray):
                     starts.append([place[j]])
                     rows.append(j)
                 rows = np.array(rows, np.int64)
-                bucket = ((key[head] >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)[rows]
+                single, key = alone[head][rows], key[head][rows]
+                bucket = ((key >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+                again = bucket.copy()
+                # Windows alone meet by salts of their slice first, and then the firsts of all salts.
+                salt = np.uint64(int(_mix(np.array([int(th[part[0]]) & LAST, len(w.data)], np.uint64)).sum()) % salts)
+                bucket[single] = ((_mix(key[single] + salt) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
                 # What is known to go needs no group: it is dealt out evenly.
                 sure = np.array([x is None for x in words], bool)
                 bucket[sure] = ((own + begin) % groups)[rows][sure]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), pa.array(own[rows]), pa.array(own_th[rows]), pa.array([np.array(x, np.int32).tobytes() for x in starts], pa.binary()), pa.array(n[rows].astype(np.int32)), pa.array(words, pa.binary())],
-                    ["bucket", "dk", "th", "starts", "n", "words"],
+                    [pa.array(bucket), pa.array(again, mask=~single | sure), pa.array(own[rows]), pa.array(own_th[rows]), pa.array([np.array(x, np.int32).tobytes() for x in starts], pa.binary()), pa.array(n[rows].astype(np.int32)), pa.array(words, pa.binary())],
+                    ["bucket", "again", "dk", "th", "starts", "n", "words"],
                 )
 
     return run
@@ -239,40 +250,89 @@ def _split(node: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
     return child
 
 
-def repeats(stretches: list[bytes], counts: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Of each window, stretch by stretch, whether it starts in a document before its own."""
-    code: dict[bytes, int] = {}
-    flat, first = [], [0]
-    for s in stretches:
-        flat += [code.setdefault(x, len(code)) for x in s.split()]
-        first.append(len(flat))
-    w = np.array(flat, np.int64)
-    total = int(counts.sum())
-    shift = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    pos = np.repeat(np.array(first[:-1], np.int64), counts) + shift
-    doc = np.repeat(own, counts)
-    out = np.zeros(total, bool)
-    live, node = np.arange(total), np.zeros(total, np.int64)
-    for a, z in EDGES:
-        node = _split(node, [w[pos[live] + j] for j in range(a, z)])
-        many = int(node.max(initial=-1)) + 1
+class Subtree:
+    """The suffix tree of a group from its root to the deep internal nodes, and below them as far as asked for.
+
+    stretches: words, counts: how many suffixes start in each, own: its document. Leaves are the suffixes
+    that may still repeat in several documents, node the number of the node that each hangs below.
+    """
+
+    def __init__(self, stretches: list[bytes], counts: np.ndarray, own: np.ndarray):
+        code: dict[bytes, int] = {}
+        flat, first = [], [0]
+        for s in stretches:
+            flat += [code.setdefault(x, len(code)) for x in s.split()]
+            first.append(len(flat))
+        self.words, self.total = np.array(flat, np.int64), int(counts.sum())
+        shift = np.arange(self.total) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = np.array(first, np.int64)
+        self.start = np.repeat(first[:-1], counts) + shift
+        self.end = np.repeat(first[1:], counts)
+        self.doc = np.repeat(own, counts)
+        self.leaves, self.node = np.arange(self.total), np.zeros(self.total, np.int64)
+        self.depth = 0
+        for step in STEPS:
+            self.descend(step)
+
+    def descend(self, step: int) -> None:
+        """Split all nodes by the next words; suffixes that end before are no leaves any more."""
+        if self.depth >= WINDOW:
+            inside = self.start[self.leaves] + self.depth + step <= self.end[self.leaves]
+            self.leaves, self.node = self.leaves[inside], self.node[inside]
+        at = self.start[self.leaves] + self.depth
+        self.node = _split(self.node, [self.words[at + j] for j in range(step)])
+        self.depth += step
+        low, high = self.ends()
+        keep = (low < high)[self.node]
+        self.leaves, self.node = self.leaves[keep], self.node[keep]
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest and the largest document below each node."""
+        many = int(self.node.max(initial=-1)) + 1
         low, high = np.full(many, LAST), np.full(many, -LAST - 1)
-        np.minimum.at(low, node, doc[live])
-        np.maximum.at(high, node, doc[live])
-        keep = (low < high)[node]
-        live, node = live[keep], node[keep]
-        if z == WINDOW:
-            out[live] = doc[live] > low[node]
-    return out
+        np.minimum.at(low, self.node, self.doc[self.leaves])
+        np.maximum.at(high, self.node, self.doc[self.leaves])
+        return low, high
+
+    def repeats(self) -> np.ndarray:
+        """Of each suffix whether its window starts in a document before its own. Asked before descending further."""
+        out = np.zeros(self.total, bool)
+        low, _ = self.ends()
+        out[self.leaves] = self.doc[self.leaves] > low[self.node]
+        return out
+
+    def internal_nodes(self) -> Iterator[tuple[int, list[int]]]:
+        """(depth, its suffixes) of each deep internal node, of several documents, where words part or end: right-maximal repeats."""
+        while len(self.leaves):
+            depth, leaves, node = self.depth, self.leaves, self.node
+            self.descend(1)
+            # A node is passed by where all its leaves go on by one word.
+            left = np.full(int(node.max()) + 1, -1)
+            after = np.full(self.total, -1)
+            after[self.leaves] = self.node
+            np.maximum.at(left, node, after[leaves])
+            parts = np.zeros(len(left), bool)
+            np.logical_or.at(parts, node, after[leaves] != left[node])
+            parts |= left < 0
+            order = np.argsort(node, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+                if parts[node[own[0]]]:
+                    yield depth, leaves[own].tolist()
+
+
+FLAGGED = "dk long, th long, start int, n int, again long, starts binary, words binary"
 
 
 def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(dk, th, start, n) of the windows of a group that go."""
+    """Rows of FLAGGED: the windows (start, n) of a group that go; and with words those that have another round before them."""
     known = pdf["words"].isna()
-    rows = pdf[~known]
+    rows = pdf[~known].reset_index(drop=True)
     n = rows["n"].to_numpy(np.int64)
-    gone = repeats(rows["words"].tolist(), n, rows["dk"].to_numpy(np.int64))
+    gone = Subtree(rows["words"].tolist(), n, rows["dk"].to_numpy(np.int64)).repeats()
     which = np.repeat(np.arange(len(rows)), n)
+    stays = np.ones(len(rows), bool)
+    stays[which[gone]] = False
+    left = rows[stays & rows["again"].notna().to_numpy(bool)]
     off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     which, off = which[gone], off[gone]
     head = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
@@ -285,7 +345,11 @@ def _flag(pdf: pd.DataFrame) -> pd.DataFrame:
     at = (np.cumsum(many) - many)[row[run]] + np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k)
     found = pd.DataFrame({"dk": rows["dk"].to_numpy()[row[run]], "th": rows["th"].to_numpy()[row[run]], "start": starts(rows)[at] + off[head][run], "n": size[run]})
     sure = pdf.loc[known, ["dk", "th", "n"]].assign(start=starts(pdf[known]))
-    return pd.concat([found, sure])[["dk", "th", "start", "n"]].astype({"dk": "int64", "th": "int64", "start": "int32", "n": "int32"})
+    out = pd.concat([found, sure])[["dk", "th", "start", "n"]].astype({"dk": "int64", "th": "int64", "start": "int32", "n": "int32"})
+    out = out.assign(again=pd.array([pd.NA] * len(out), "Int64"), starts=None, words=None)
+    if len(left):
+        out = pd.concat([out, left.assign(start=0)[list(out.columns)].astype({"again": "Int64"})])
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -294,17 +358,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _repeated_anchors(rows: DataFrame, groups: int, limit: int) -> DataFrame:
     """(dk, places, hot): of each document the anchors that other documents have too; the row without dk lists the hot ones."""
-    sent = rows.select("dk", "text").mapInArrow(_anchors(groups), "bucket int, keys binary, ids binary, places binary")
+    sent = rows.select("dk", "text").mapInArrow(_anchors(groups), "bucket long, keys binary, ids binary, places binary")
     marks = sent.groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, limit), "dk long, place int, hot long")
-    return cut(marks.groupBy("dk").agg(F.collect_list("place").alias("places"), F.collect_list("hot").alias("hot")), "anchors")  # at most a document's words
+    # At most a document's words; one hot anchor for each limit places of all texts.
+    return cut(marks.groupBy("dk").agg(F.collect_set("place").alias("places"), F.collect_set("hot").alias("hot")), "anchors")
 
 
-def _repeated_windows(rows: DataFrame, places: DataFrame, groups: int) -> DataFrame:
+def _repeated_windows(rows: DataFrame, places: DataFrame, groups: int, salts: int) -> DataFrame:
     """(dk, th, spans): of each text with something to remove, the windows (start, n) that go."""
     listed = places.where("dk is null").select("hot").first()
-    hot = np.array(listed[0] if listed else [], np.int64).view(np.uint64)
-    own = rows.join(places.drop("hot"), "dk").select("dk", "th", "text", "places").mapInArrow(_stretches(groups, hot), STRETCH)
-    flagged = own.groupBy("bucket").applyInPandas(_flag, "dk long, th long, start int, n int")
+    hot = rows.sparkSession.sparkContext.broadcast(np.array(listed[0] if listed else [], np.int64).view(np.uint64))
+    own = rows.join(places.drop("hot"), "dk").select("dk", "th", "text", "places").mapInArrow(_stretches(groups, salts, hot), STRETCH)
+    flagged = own.groupBy("bucket").applyInPandas(_flag, FLAGGED)
+    if hot.value.size:
+        flagged = cut(flagged, "windows")
+        alone = F.lit(None).cast("long").alias("again")
+        later = flagged.where("again is not null").select(F.col("again").alias("bucket"), alone, "dk", "th", "starts", "n", "words")
+        flagged = flagged.where("again is null").unionByName(later.groupBy("bucket").applyInPandas(_flag, FLAGGED))
     return cut(flagged.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
 
 
@@ -313,15 +383,35 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs.select("doc_id", "text")).select("dk", "th", "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     spark = docs.sparkSession
-    groups = int(min(65_536, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // GROUP_CHARS)))
+    groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // GROUP_CHARS)
     places = _repeated_anchors(rows, groups, max(LEAST_HOT, chars // (groups * HOT_SHARE)))
     release(spark)
-    spans = _repeated_windows(rows, places, groups)
+    spans = _repeated_windows(rows, places, groups, max(1, math.isqrt(chars // SLICE)))
     remove(spark, places.cut_path)
     release(spark)
     return spans
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, n_words): the maximal runs of words of each text that windows of earlier documents cover."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for dk, spans in zip(pdf["dk"], pdf["spans"], strict=True):
+                now = None
+                for start, n in sorted((s["start"], s["n"]) for s in spans):
+                    if now and start <= now[1] + now[2]:
+                        now[2] = max(now[2], start + n + WINDOW - 1 - now[1])
+                    else:
+                        now = [dk, start, n + WINDOW - 1]
+                        rows.append(now)
+            yield pd.DataFrame(rows, columns=["dk", "start", "n_words"])
+
+    found = removals(docs).select("dk", "spans").mapInPandas(run, "dk long, start int, n_words int")
+    return found.select(F.when(F.col("dk") != LAST, F.col("dk")).alias("doc_id"), "start", "n_words")
+
+
 def kept_words(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
     """(words that stay, how many there were)."""
     words = text.split()
@@ -354,20 +444,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeats taken out of text (kept words joined by one space) and n_chars to match; other texts stay as they are."""
-    rows = _keyed(docs).join(removals(docs), ["dk", "th"], "left")
+    dk, th, spans = fresh(docs, "dk", "th", "spans")
+    gone = removals(docs).toDF(dk, th, spans)
+    rows = docs.withColumn(dk, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(th, F.xxhash64("text")).join(gone, [dk, th], "left")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            old = b.column(b.schema.get_field_index("text"))
-            text = list(old.to_pylist())
-            for i, spans in enumerate(b.column(b.schema.get_field_index("spans")).to_pylist()):
-                if spans:
-                    text[i] = b" ".join(kept_words(text[i].encode(), spans)[0]).decode()
-            cols = [pa.array(text, pa.string()) if name == "text" else b.column(i) for i, name in enumerate(b.schema.names)]
+            text = list(b.column(at).to_pylist())
+            for i, listed in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if listed:
+                    text[i] = b" ".join(kept_words(text[i].encode(), listed)[0]).decode()
+            cols = [pa.array(text, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols[:-1], b.schema.names[:-1])
 
-    given = rows.select(*docs.columns, "spans")
-    out = given.mapInArrow(run, docs.schema)
+    out = rows.select(*docs.columns, spans).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
     return out
