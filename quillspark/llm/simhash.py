@@ -139,20 +139,25 @@ def ball_links(fps: DataFrame, n: int) -> DataFrame:
     return spread.groupBy("bucket").applyInPandas(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, th, component_id) for each row: component_id is the smallest doc_id reachable by links."""
+def _rooted(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, th, root, component_id) for each row: root is the smallest fingerprint reachable."""
     own = cut(fingerprints(docs), "fingerprints")
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     reach = components(ball_links(classes, classes.count()))
     rooted = classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left")
     low = rooted.where("root is not null").groupBy("root").agg(F.min("first_id").alias("low"))
-    named = cut(rooted.join(low, "root", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")), "named")
-    return own.join(named, "fp").select("doc_id", "fp", "th", "component_id")
+    named = rooted.join(low, "root", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first_id").alias("component_id"))
+    return own.join(cut(named, "named"), "fp").select("doc_id", "fp", "th", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable by links."""
+    return _rooted(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component stays, with all its columns: see one_of_each."""
-    return one_of_each(docs, near_duplicates(docs).withColumnRenamed("component_id", "component"))
+    return one_of_each(docs, _rooted(docs).select("doc_id", "th", F.col("root").alias("component")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

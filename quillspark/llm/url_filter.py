@@ -22,7 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import fresh, table
 from quillspark.operators.cuts import cut
 
 #: Rules: key (host and beginning of the path) and verdict.
@@ -128,12 +128,11 @@ class Cascade:
         """
         if not self.levels:
             return rows.withColumn(name, F.lit(False))
-        both = self.levels[0][0].select("shard", F.struct("m", "words").alias("l0"))
-        for i, (made, _) in enumerate(self.levels[1:], 1):
-            both = both.join(made.select("shard", F.struct("m", "words").alias(f"l{i}")), "shard", "left")
-        both = cut(both.withColumnRenamed("shard", f"{name}_shard"), "shards")
-        met = rows.withColumn(f"{name}_shard", _shard(F.coalesce(F.col(key), F.lit("")), self.shards)).join(both, f"{name}_shard", "left")
-        levels = [(F.col(f"l{i}.m"), F.col(f"l{i}.words")) for i in range(len(self.levels))]
+        shard, *names = fresh(rows, "shard", *(f"l{i}" for i in range(len(self.levels))))
+        parts = [made.select(F.col("shard").alias(shard), F.struct("m", "words").alias(n)) for n, (made, _) in zip(names, self.levels, strict=True)]
+        both = cut(reduce(lambda x, y: x.join(y, shard, "left"), parts), "shards")
+        met = rows.withColumn(shard, _shard(F.coalesce(F.col(key), F.lit("")), self.shards)).join(both, shard, "left")
+        levels = [(F.col(n)["m"], F.col(n)["words"]) for n in names]
         return met.select(*rows.columns, self._decide(F.col(key), levels).alias(name))
 
 
