@@ -1,205 +1,89 @@
-"""Final answers: extraction, typing, canonical values and tolerant verification.
+"""Final answers: extraction, typing, canonical values and tolerant verification, as columns of a frame.
 
-Each public function adds columns to a frame. Steps that later ones use more than once become columns
-of their own (Steps.let), so that no expression is written out twice in the plan.
+One Arrow-batched function for each, which looks at every distinct input of a batch once: the rules
+branch and look back too much for a plan of built-in functions, which grew to hundreds of kilobytes.
 """
 
 from __future__ import annotations
 
-import math
-from fractions import Fraction
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
-
-from quillspark.functions.text import strip, to_ascii_digits
-
-VERIFIABLE = ("numeric", "fraction", "percent", "mcq_option", "bool_bn")
-NUMBERS = ("numeric", "fraction", "percent")
-# Words for true and false, units, currency signs.
-TRUE_WORDS = ("সঠিক", "সত্য", "হ্যাঁ", "হ্যাঁ।")
-FALSE_WORDS = ("ভুল", "মিথ্যা", "না", "অসত্য")
-UNITS = "টাকা টি টা জন মিটার কিমি কিলোমিটার সেমি সেন্টিমিটার ঘন্টা ঘণ্টা মিনিট সেকেন্ড দিন বছর মাস কেজি গ্রাম লিটার ডিগ্রি বর্গমিটার cm mm km kg g ml hr min sec units? dollars?".split()
-CURRENCIES = r"[$₹৳]"
-ANSWER_WORDS, COPULAS = "উত্তর|ফলাফল", "হচ্ছে|হলো|হল|হবে"
-
-_S = r"[\s\p{Z}]*"
-GSM = r"####[\s\p{Z}]*([^\n]+)"
-BENGALI = rf"(?:{ANSWER_WORDS}){_S}(?:{COPULAS})?{_S}[:ঃ]{_S}([^\n]+)"
-AMOUNT = r"([-+]?[0-9,]+(?:\.[0-9]+)?)"
-CURRENCY = rf"^\\?{CURRENCIES}{_S}{AMOUNT}$"
-UNIT = rf"^{AMOUNT}{_S}(?:{'|'.join(UNITS)})\.?$"
-NUMERIC = r"^[-+]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?$"
-FRACTION_TEX = r"^\\[dt]?frac\{(-?[0-9.]+)\}\{(-?[0-9.]+)\}$"
-FRACTION_SLASH = rf"^(-?[0-9]+){_S}/{_S}([0-9]+)$"
-PERCENT = rf"^([-+]?[0-9.]+){_S}\\?%$"
-LETTER = rf"^(?:\\(?:text|mathrm|textbf)\{{{_S})?\(?([A-Ea-e])\)?[.)\s\p{{Z}}]*\}}?$"
-LETTER_VALUE = rf"(?s)^\\?(?:text|textbf|mathrm)?{_S}\{{?{_S}\(?([A-Ea-e])\)?{_S}[:.)]{_S}\}}?{_S}(.+)$"
-SYMBOL = r"\\(?:sqrt|pi|infty|sum|int|log|ln|sin|cos|tan|alpha|beta|theta)"
-WRAPPED = r"^\\(?:text|mathrm|textbf|textit)\{(.*)\}$"
-BARE = 40
-
-
-def last_box(text: str | None) -> str | None:
-    """What the last balanced \\boxed{...} holds; an unbalanced one ends the search."""
-    found, at = None, 0
-    while text and (at := text.find("\\boxed", at)) >= 0 and (left := text.find("{", at)) >= 0:
-        open_, end = 0, -1
-        for i in range(left, len(text)):
-            open_ += {"{": 1, "}": -1}.get(text[i], 0)
-            if open_ == 0:
-                end = i
-                break
-        if end < 0:
-            break
-        found, at = text[left + 1 : end], end + 1
-    return found
-
-
-@F.pandas_udf(StringType())
-def extract_boxed(text: pd.Series) -> pd.Series:
-    return text.map(last_box, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def reduced(num: pd.Series, den: pd.Series) -> pd.Series:
-    """num/den in lowest terms as 'n/d'; null if that is no number."""
-
-    def one(a, b):
-        try:
-            f = Fraction(a) / Fraction(b)
-        except (ValueError, TypeError, ZeroDivisionError):
-            return None
-        return f"{f.numerator}/{f.denominator}"
-
-    return pd.Series([one(a, b) for a, b in zip(num, den, strict=True)], dtype=object)
-
-
-def _group(text: Column, pattern: str, i: int = 1) -> Column:
-    """The group where the pattern matches and it isn't blank, else null."""
-    got = strip(F.regexp_extract(text, pattern, i))
-    return F.when(got != "", got)
-
-
-class Steps:
-    """A frame that grows by named intermediate columns."""
-
-    def __init__(self, df: DataFrame):
-        self.df, self.given, self.n = df, df.columns, 0
-
-    def let(self, value: Column) -> Column:
-        name = f"_step{self.n}"
-        self.n += 1
-        self.df = self.df.withColumn(name, value)
-        return F.col(name)
-
-    def done(self, **columns: Column) -> DataFrame:
-        kept = [F.col(c) for c in self.given if c not in columns]
-        return self.df.select(*kept, *(v.alias(k) for k, v in columns.items()))
-
-
-def _extract(s: Steps, fields: list[Column]) -> tuple[Column, Column]:
-    stripped = [s.let(strip(F.coalesce(f, F.lit("")))) for f in fields]
-    options = []
-    for text in stripped:
-        box = s.let(strip(extract_boxed(text)))
-        for value, method in ((F.when(box != "", box), "boxed"), (s.let(_group(text, GSM)), "gsm_marker"), (s.let(_group(text, BENGALI)), "bn_marker")):
-            options.append((value, method))
-    for text in stripped:
-        options.append((F.when((text != "") & (F.length(text) <= BARE) & ~text.contains("\n"), text), "bare"))
-    raw = s.let(F.coalesce(*(v for v, _ in options)))
-    return raw, s.let(F.coalesce(*(F.when(v.isNotNull(), m) for v, m in options)))
-
-
-def _clean(s: Steps, answer: Column) -> Column:
-    """Without decoration that carries no meaning."""
-    a = strip(answer)
-    a = strip(F.regexp_replace(a, r"^\$+|\$+$", ""))
-    a = F.regexp_replace(a, r"\\[!,;:]", "")
-    a = F.regexp_replace(a, r"(?U)\\(?:left|right|displaystyle|textstyle)\b", "")
-    a = strip(F.regexp_replace(a, r"\\ ", " "))
-    a = F.regexp_replace(a, rf"([0-9০-৯]),{_S}$", "$1")
-    return s.let(strip(F.regexp_replace(a, rf"[.।]{_S}$", "")))
-
-
-class Forms:
-    """The forms of an answer that typing and canonical values look at."""
-
-    def __init__(self, s: Steps, answer: Column):
-        self.answer = answer
-        plain = _clean(s, answer)
-        self.text = s.let(to_ascii_digits(plain))
-        self.inner = s.let(strip(F.regexp_replace(self.text, WRAPPED, "$1")))
-        c = s.let(F.regexp_replace(self.text, " ", ""))
-        self.compact = s.let(F.when(c.rlike(CURRENCY), F.regexp_extract(c, CURRENCY, 1)).when(c.rlike(UNIT), F.regexp_extract(c, UNIT, 1)).otherwise(c))
-        hit = s.let(~plain.rlike(LETTER) & plain.rlike(LETTER_VALUE))
-        self.letter = s.let(F.when(hit, F.upper(F.regexp_extract(plain, LETTER_VALUE, 1))))
-        value = s.let(strip(F.regexp_replace(strip(F.regexp_extract(plain, LETTER_VALUE, 2)), r"\}+$", "")))
-        self.value = s.let(F.when(hit & (value != ""), value))
-        self.kind = s.let(self._kind())
-
-    def _kind(self) -> Column:
-        a, c = self.text, self.compact
-        return (
-            F.when(self.answer.isNull() | (a == ""), "missing")
-            .when(self.inner.isin(*TRUE_WORDS, *FALSE_WORDS), "bool_bn")
-            .when(a.rlike(LETTER) | self.letter.isNotNull(), "mcq_option")
-            .when(c.rlike(NUMERIC), "numeric").when(c.rlike(PERCENT), "percent")
-            .when(c.rlike(FRACTION_TEX) | c.rlike(FRACTION_SLASH), "fraction")
-            .when(c.rlike(SYMBOL), "symbolic").when(c.rlike(r"[a-zA-Z\\]"), "expression").otherwise("other")
-        )
-
-
-class Value:
-    """The canonical value of an answer as a type: num, frac or text, and key, all null where there is none."""
-
-    def __init__(self, s: Steps, forms: Forms, kind: Column):
-        c = forms.compact
-        self.kind = kind
-        self.num = s.let(F.when(kind == "numeric", _finite(F.regexp_replace(c, ",", ""))).when((kind == "percent") & c.rlike(PERCENT), _finite(F.regexp_extract(c, PERCENT, 1))))
-        part = lambda i: F.when(kind == "fraction", F.when(c.rlike(FRACTION_TEX), F.regexp_extract(c, FRACTION_TEX, i)).when(c.rlike(FRACTION_SLASH), F.regexp_extract(c, FRACTION_SLASH, i)))
-        self.frac = s.let(reduced(part(1), part(2)))
-        letter = F.when(forms.text.rlike(LETTER), F.upper(F.regexp_extract(forms.text, LETTER, 1))).otherwise(forms.letter)
-        truth = F.when(forms.inner.isin(*TRUE_WORDS), "true").when(forms.inner.isin(*FALSE_WORDS), "false")
-        self.text = s.let(F.when(kind == "mcq_option", letter).when(kind == "bool_bn", truth))
-        self.key = s.let(F.concat(kind, F.lit("|"), F.coalesce(self.num.cast("string"), self.frac, self.text)))
-
-    def number(self) -> Column:
-        """A fraction as its quotient, a percentage as a share of one."""
-        part = F.split(self.frac, "/")
-        quotient = F.get(part, F.lit(0)).cast("double") / F.get(part, F.lit(1)).cast("double")
-        return F.when(self.kind == "fraction", quotient).when(self.kind == "percent", self.num / 100).when(self.kind == "numeric", self.num)
-
-
-def _finite(text: Column) -> Column:
-    x = text.try_cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
-
-
-def close(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.greatest(F.lit(1e-9), F.lit(1e-6) * F.greatest(F.abs(a), F.abs(b)))
+from pyspark.sql.types import BooleanType, DataType, DoubleType, StringType, StructField, StructType
+
+from quillspark.functions import answer_forms as A
+from quillspark.functions.answer_forms import BARE, VERIFIABLE, last_box  # noqa: F401  part of this module's interface
+
+
+def _struct(strings: str, **others: DataType) -> StructType:
+    """A struct of the names in strings, which are strings unless others says so."""
+    return StructType([StructField(name, others.get(name, StringType())) for name in strings.split()])
+
+
+EXTRACTED = _struct("raw method")
+CANONICAL = _struct("type num frac text key", num=DoubleType())
+VERDICT = _struct("correct reason raw method gold_key pred_key", correct=BooleanType())
+
+
+def _batched(fn: Callable[..., tuple], schema: StructType):
+    """A function of columns to a struct of schema; fn gets the values of a row, None for nulls."""
+    names = schema.names
+
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        seen: dict[tuple, tuple] = {}
+        rows = []
+        for row in zip(*(c.astype(object).where(c.notna(), None) for c in columns), strict=True):
+            if row not in seen:
+                seen[row] = fn(*row)
+            rows.append(seen[row])
+        return pd.DataFrame(rows, columns=names)
+
+    run.__annotations__ = {"columns": pd.Series, "return": pd.DataFrame}  # what Spark tells the kind of function by
+    return F.pandas_udf(run, schema)
+
+
+def _canonical(answer: str | None, kind: str | None) -> tuple:
+    v = A.Form(answer).value(kind)
+    return v.type, v.num, v.frac if v.frac is None else f"{v.frac.numerator}/{v.frac.denominator}", v.text, v.key
+
+
+def _verify(prediction: str | None, gold: str | None, kind: str | None = None) -> tuple:
+    asked = A.Form(gold)
+    raw, method = A.extract(prediction)
+    correct, reason, want, have = A.judge(asked, kind or asked.kind, raw)
+    return correct, reason, raw, method, want.key, have and have.key
+
+
+extract_udf = _batched(A.extract, EXTRACTED)
+canonical_udf = _batched(_canonical, CANONICAL)
+verify_udf = _batched(_verify, VERDICT)
+
+
+def _text(name: str | None) -> Column:
+    return F.lit(None).cast("string") if name is None else F.col(name).cast("string")
+
+
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns, which replace those of their names and come last."""
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
 
 
 def extract_answer(df: DataFrame, *fields: str, raw: str = "raw", method: str = "method") -> DataFrame:
     """df with raw and method: boxed, then #### marker, then Bengali marker of each field in turn; then a short bare field."""
-    s = Steps(df)
-    a, m = _extract(s, [F.col(f) for f in fields])
-    return s.done(**{raw: a, method: m})
+    found = extract_udf(*map(_text, fields))
+    return _with(df, **{raw: found["raw"], method: found["method"]})
 
 
 def classify(df: DataFrame, answer: str, out: str = "answer_type") -> DataFrame:
     """df with the answer's type; missing for null or empty."""
-    s = Steps(df)
-    return s.done(**{out: Forms(s, F.col(answer)).kind})
+    return _with(df, **{out: canonical_udf(_text(answer), _text(None))["type"]})
 
 
 def canonical(df: DataFrame, answer: str, kind: str | None = None, out: str = "canonical") -> DataFrame:
     """df with struct(type, num, frac, text, key): comparable within a type, key for grouping and voting."""
-    s = Steps(df)
-    forms = Forms(s, F.col(answer))
-    v = Value(s, forms, F.col(kind) if kind else forms.kind)
-    return s.done(**{out: F.struct(v.kind.alias("type"), v.num.alias("num"), v.frac.alias("frac"), v.text.alias("text"), v.key.alias("key"))})
+    return _with(df, **{out: canonical_udf(_text(answer), _text(kind))})
 
 
 def is_verifiable(value: str = "canonical") -> Column:
@@ -209,30 +93,4 @@ def is_verifiable(value: str = "canonical") -> Column:
 
 def verify(df: DataFrame, prediction: str, gold: str, kind: str | None = None, out: str = "verdict") -> DataFrame:
     """df with struct(correct, reason, raw, method, gold_key, pred_key): the first step of the ladder that decides."""
-    s = Steps(df)
-    asked = Forms(s, F.col(gold))
-    kind = s.let(F.coalesce(F.col(kind), asked.kind)) if kind else asked.kind
-    want = Value(s, asked, kind)
-    raw, method = _extract(s, [F.col(prediction)])
-    given = Forms(s, raw)
-    have, own = Value(s, given, kind), Value(s, given, given.kind)
-    # What the gold option stands for, and the prediction as that type.
-    load = Forms(s, asked.value)
-    stands = Value(s, load, load.kind)
-    payload = s.let(F.coalesce((kind == "mcq_option") & load.kind.isin(*VERIFIABLE) & (stands.key == Value(s, given, load.kind).key), F.lit(False)))
-    step = lambda correct, reason: F.struct(F.coalesce(correct, F.lit(False)).alias("correct"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
-    no, yes = F.lit(False), F.lit(True)
-    cross = have.key.isNull() & kind.isin(*NUMBERS) & given.kind.isin(*NUMBERS)
-    found = s.let(
-        F.when(~kind.isin(*VERIFIABLE), step(no, F.concat(F.lit("unverifiable_type:"), kind)))
-        .when(want.key.isNull(), step(no, "gold_uncanonicalizable"))
-        .when(raw.isNull(), step(no, "no_answer_in_prediction"))
-        .when(cross, step(close(want.number(), own.number()), "cross_type_numeric"))
-        .when(have.key.isNull() & payload, step(yes, "mcq_payload_compare"))
-        .when(have.key.isNull(), step(no, F.concat(F.lit("pred_uncanonicalizable:"), given.kind)))
-        .when(kind.isin("numeric", "percent"), step(close(want.num, have.num), "numeric_compare"))
-        .when(kind == "fraction", step(want.frac == have.frac, "fraction_compare"))
-        .when((want.text != have.text) & payload, step(yes, "mcq_payload_compare"))
-        .otherwise(step(want.key == have.key, F.concat(kind, F.lit("_compare"))))
-    )
-    return s.done(**{out: F.struct(found["correct"].alias("correct"), found["reason"].alias("reason"), raw.alias("raw"), method.alias("method"), want.key.alias("gold_key"), have.key.alias("pred_key"))})
+    return _with(df, **{out: verify_udf(_text(prediction), _text(gold), _text(kind))})

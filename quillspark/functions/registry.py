@@ -1,10 +1,15 @@
-"""The text scalars as SQL functions of a session; Catalyst inlines all but nfc."""
+"""The scalars as SQL functions of a session; Catalyst inlines those of text but nfc, the answers' run batch by batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
 
-from quillspark.functions import text as T
+import pandas as pd
+from pyspark.sql import SparkSession, functions as F
+from pyspark.sql.types import StringType
+
+from quillspark.functions import answers, text as T
+from quillspark.functions.answer_forms import Form
 
 A, B = T.ASCII_DIGITS, T.BENGALI_DIGITS
 FUNCTIONS = {
@@ -19,9 +24,32 @@ FUNCTIONS = {
 }
 
 
+def _string(fn: Callable[[str | None], str | None]):
+    """fn over the distinct values of each batch."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        known = {x: fn(x) for x in texts.dropna().unique()}
+        none = fn(None)
+        return pd.Series([none if x is None or x != x else known[x] for x in texts], dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, StringType())
+
+
+#: extract_answer(field, ...) and verify_answer(prediction, gold) give structs.
+ANSWERS = {
+    "extract_answer": answers.extract_udf,
+    "answer_type": _string(lambda s: Form(s).kind),
+    "canonical_key": _string(lambda s: Form(s).value().key),
+    "verify_answer": answers.verify_udf,
+}
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Make FUNCTIONS and nfc known to spark.sql; returns their names."""
+    """Make all of them known to spark.sql; returns their names."""
     spark.udf.register("nfc", T.nfc)
+    for name, fn in ANSWERS.items():
+        spark.udf.register(name, fn)
     for name, (kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {kind} RETURN {body}")
-    return ["nfc", *FUNCTIONS]
+    return ["nfc", *FUNCTIONS, *ANSWERS]

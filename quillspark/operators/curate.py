@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import answers
-from quillspark.functions.text import CJK, is_bengali_dominant, normalize_text, to_ascii_digits, to_bengali_digits
+from quillspark.functions.text import CJK, is_bengali_dominant, normalize_text, original_script, to_ascii_digits, to_bengali_digits
 from quillspark.operators.cuts import cut
 
 
@@ -39,6 +39,42 @@ def build_records(master: DataFrame, dropped_sources: tuple[str, ...] = ()) -> D
     )
 
 
+def eval_records(rows: DataFrame, benchmark: str, number: Column, question: str, answer: str, meta: tuple[str, ...] = ()) -> DataFrame:
+    """Eval records of a benchmark's rows, those that are skipped with a skip_reason (null: kept).
+
+    number: the row's place, which makes its eval_id. Reasons in order: empty_question, empty_answer.
+    meta holds the named columns that aren't null or empty.
+    """
+    said = F.trim(F.coalesce(F.col(answer).cast("string"), F.lit("")))
+    kept = list(dict.fromkeys(meta))
+    own = rows.select(
+        F.concat(F.lit(f"{benchmark}_"), number.cast("string")).alias("eval_id"), F.lit(benchmark).alias("benchmark"), normalize_text(F.col(question).cast("string")).alias("question_original"), said.alias("gold_answer"),
+        F.map_filter(F.create_map(*[x for c in kept for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull() & (v != "")).alias("meta") if kept else F.create_map().cast("map<string,string>").alias("meta"),
+    )
+    own = answers.canonical(own, "gold_answer", out="_canon")
+    ar, bn = to_ascii_digits("question_original"), to_bengali_digits("question_original")
+    reason = F.when(F.col("question_original") == "", "empty_question").when(F.col("gold_answer") == "", "empty_answer")
+    return own.select(
+        "eval_id", "benchmark", "question_original", ar.alias("question_ar_digits"), bn.alias("question_bn_digits"), (ar != bn).alias("variants_differ"), "gold_answer",
+        to_ascii_digits("gold_answer").alias("gold_answer_ar_digits"), to_bengali_digits("gold_answer").alias("gold_answer_bn_digits"), F.col("_canon.type").alias("answer_type"),
+        answers.is_verifiable("_canon").alias("verifiable"), "meta", reason.alias("skip_reason"),
+    )
+
+
+def eval_report(records: DataFrame) -> DataFrame:
+    """(benchmark, measure, name, n) of eval records: counts of problems, answer types, original scripts and skip reasons."""
+    kept = F.col("skip_reason").isNull()
+    script = original_script("question_original")
+    facts = F.array(
+        *[F.when(c, F.struct(F.lit("records").alias("measure"), F.lit(n).alias("name"))) for n, c in (
+            ("problems", kept), ("variants_differ", kept & F.col("variants_differ")), ("verifiable", kept & F.col("verifiable")), ("usable_for_agreement", kept & gradable()))],
+        F.when(kept, F.struct(F.lit("answer_type").alias("measure"), F.col("answer_type").alias("name"))), F.when(kept, F.struct(F.lit("original_script").alias("measure"), script.alias("name"))),
+        F.when(~kept, F.struct(F.lit("skipped").alias("measure"), F.col("skip_reason").alias("name"))),
+    )
+    each = records.select("benchmark", F.explode(facts).alias("f")).where("f is not null")
+    return each.groupBy("benchmark", F.col("f.measure").alias("measure"), F.col("f.name").alias("name")).agg(F.count("*").alias("n"))
+
+
 def script_pairs(records: DataFrame) -> DataFrame:
     """Records whose two numeral variants differ, with both variants of question, solution and answer."""
     rows = records.where(F.col("question_ar_digits") != F.col("question_bn_digits"))
@@ -53,10 +89,11 @@ def gradable() -> Column:
 REQUIRED = ("id", "source", "pool", "question_bn", "question_ar_digits", "question_bn_digits", "final_answer", "answer_type", "verifiable", "flags")
 
 
-def gates(records: DataFrame, splits: DataFrame, eval_keys: DataFrame, key: Column) -> DataFrame:
+def gates(records: DataFrame, splits: DataFrame, eval_keys: DataFrame, key: Column, gaps: DataFrame | None = None) -> DataFrame:
     """(gate, severity, violations): fail or warn, and how many rows break each gate.
 
-    records as build_records gives them, splits (id, split), eval_keys (key), key: a record's matching key.
+    records as build_records gives them, splits (id, split), eval_keys (key), key: a record's matching key,
+    gaps (benchmark, problem): benchmarks whose contamination can't be measured.
     """
     missing = [c for c in REQUIRED if c not in records.columns]
     rows = answers.canonical(records, "final_answer", "answer_type", out="_canon").withColumn("_chain", F.coalesce("solution_bn", F.lit("")))
@@ -85,6 +122,8 @@ def gates(records: DataFrame, splits: DataFrame, eval_keys: DataFrame, key: Colu
         total("contaminated", slim.join(eval_keys.where("key != ''").distinct(), "key", "left_semi")),
         ids.sparkSession.range(1).select(F.lit("required_fields").alias("gate"), F.lit("fail").alias("severity"), F.lit(len(missing)).cast("long").alias("violations")),
     ]
+    if gaps is not None:
+        parts.append(gaps.agg(F.count("*").alias("violations")).select(F.lit("declared_gaps").alias("gate"), F.lit("warn").alias("severity"), "violations"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

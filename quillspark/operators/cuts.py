@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -13,9 +14,14 @@ KEY = "spark.checkpoint.dir"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one where that is unset and all runs in one process.
+
+    Executors elsewhere would not see a folder of the driver's machine, so on a cluster an unset one raises.
+    """
     found = spark.conf.get(KEY, None) or getattr(spark, "_quillspark_work", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark._quillspark_work = found
     return found.rstrip("/")

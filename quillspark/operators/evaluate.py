@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark.functions import answers
+from quillspark.functions.text import to_bengali_digits
 
 SCRIPTS = ("ar", "bn")
 SYSTEM = "You are a careful assistant for mathematics."
@@ -21,8 +22,20 @@ def tasks(records: DataFrame, done: DataFrame | None = None) -> DataFrame:
     return out if done is None else out.join(done.select("eval_id", "script").distinct(), ["eval_id", "script"], "left_anti")
 
 
-def prompt(question: str) -> Column:
-    return F.concat(F.lit(SYSTEM + "\n"), F.format_string(TEMPLATE.replace("{{}}", "{}"), F.col(question)))
+def prompt(question: str, template: Callable[[Column, Column], Column] | None = None) -> Column:
+    """The prompt of a question: what template makes of the system's and the user's message, else both one after the other."""
+    system, user = F.lit(SYSTEM), F.format_string(TEMPLATE.replace("{{}}", "{}"), F.col(question))
+    return template(system, user) if template else F.concat(system, F.lit("\n\n"), user, F.lit("\n\n"))
+
+
+def turns(opening: str = "<|im_start|>", closing: str = "<|im_end|>", thinking: bool = False) -> Callable[[Column, Column], Column]:
+    """A chat template of marked turns, for prompt: system, user, and the opening of the answer, with an empty thought unless the model is to think."""
+
+    def make(system: Column, user: Column) -> Column:
+        turn = lambda role, said: F.concat(F.lit(f"{opening}{role}\n"), said, F.lit(f"{closing}\n"))
+        return F.concat(turn("system", system), turn("user", user), F.lit(f"{opening}assistant\n" + ("" if thinking else "<think>\n\n</think>\n\n")))
+
+    return make
 
 
 def token_budget(script: Column, max_new: int, matched: bool = True) -> Column:
@@ -30,8 +43,11 @@ def token_budget(script: Column, max_new: int, matched: bool = True) -> Column:
     return F.when((script == "bn") & F.lit(matched), int(max_new * 1.5)).otherwise(max_new)
 
 
-def generate(todo: DataFrame, model: Callable[[list[str], list[int]], list[tuple[str, int]]], batch: int = 8) -> DataFrame:
-    """todo (eval_id, script, prompt, budget) with output, output_tokens and truncated; model answers a batch of one script."""
+def generate(todo: DataFrame, model: Callable[[list[str], list[int]], list[tuple[str, int]]], batch: int = 8, tasks: int = 128) -> DataFrame:
+    """todo (eval_id, script, prompt, budget) with output, output_tokens and truncated; model answers a batch of one script.
+
+    Questions are dealt to tasks by a hash; a task takes its scripts one after the other.
+    """
     schema = todo.select("*", F.lit("").alias("output"), F.lit(0).cast("long").alias("output_tokens"), F.lit(True).alias("truncated")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,7 +58,7 @@ def generate(todo: DataFrame, model: Callable[[list[str], list[int]], list[tuple
                     got = model(part["prompt"].tolist(), part["budget"].tolist())
                     yield part.assign(output=[g[0] for g in got], output_tokens=[g[1] for g in got], truncated=[g[1] >= b for g, b in zip(got, part["budget"], strict=True)])
 
-    return todo.repartition("script").sortWithinPartitions("script").mapInPandas(run, schema)
+    return todo.repartition(tasks, "eval_id").sortWithinPartitions("script").mapInPandas(run, schema)
 
 
 def grade(results: DataFrame) -> DataFrame:
@@ -106,6 +122,32 @@ def parse_rates(graded: DataFrame, by: list[str]) -> DataFrame:
     return each.join(n, by).select(*by, "extraction_method", "n", (F.col("n") / F.col("_n")).alias("share"), (F.col("_found") < 0.5).alias("low"))
 
 
+def report(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """(benchmark, n_paired, METRICS, verdict) of a result log, and the weighted total as benchmark OVERALL.
+
+    Of repeated lines the last counts; questions with one script alone don't.
+    """
+    each = metrics(paired(last_lines(log, seq)))
+    total = overall(each).where("n_paired > 0").withColumn("benchmark", F.lit("OVERALL"))
+    return each.withColumn("benchmark", F.col("benchmark").cast("string")).unionByName(total).withColumn("verdict", verdict())
+
+
+#: Numbers that show how digits are grouped into tokens.
+PROBE_NUMBERS = ("0", "7", "12", "42", "100", "365", "1000", "2026", "12345", "3.14", "1000000")
+
+
+def probes(spark: SparkSession, count: Callable[[Column], Column] = F.octet_length) -> DataFrame:
+    """(number, tokens_ar, tokens_bn, ratio) of PROBE_NUMBERS in both scripts; count gives a text's tokens."""
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, PROBE_NUMBERS))).alias("number"))
+    rows = rows.select("number", count(F.col("number")).cast("long").alias("tokens_ar"), count(to_bengali_digits("number")).cast("long").alias("tokens_bn"))
+    return rows.withColumn("ratio", F.col("tokens_bn") / F.greatest("tokens_ar", F.lit(1)))
+
+
+def sanity(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """(n, missing): rows, and the required columns that aren't there; an empty input, or one that lacks any, is no input."""
+    return df.agg(F.count("*").alias("n")).withColumn("missing", F.array(*map(F.lit, missing_columns(df, required))).cast("array<string>"))
+
+
 def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
     """Required names that df has no column of."""
     return [c for c in required if c not in df.columns]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from quillspark.operators import splits
+
 #: Names of question columns, the likeliest first.
 QUESTION_HINTS = ("question", "problem", "query")
 
@@ -30,10 +35,12 @@ def wrapped_json(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def load_benchmark(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Eval records that can be graded: verifiable, with two different variants."""
-    out = rows.where("verifiable and variants_differ")
-    return out if limit is None else out.limit(limit)
+def load_benchmark(rows: DataFrame, limit: int | None = None, sample: int | None = None, stratum: str = "stratum", seed: int = 0, gradable: bool = True) -> DataFrame:
+    """Eval records: those that can be graded (verifiable, with two different variants), then a sample over strata, then a limit, in this order."""
+    out = rows.where("verifiable and variants_differ") if gradable else rows
+    if sample and out.count() > sample:
+        out = splits.sample(out, stratum, sample, seed)
+    return out if limit is None else out.orderBy("eval_id").limit(limit)
 
 
 def question_column(names: list[str]) -> str | None:
@@ -95,6 +102,36 @@ def missing_primary(registry: DataFrame, found: DataFrame) -> DataFrame:
     return registry.where("role = 'primary'").join(found.select("name").distinct(), "name", "left_anti").select("name")
 
 
+def manifest(spark: SparkSession, registry: DataFrame, root: str) -> DataFrame:
+    """registry (name, role, ...) with downloaded: the sorted names of the files in each one's folder below root."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folders = children(spark, root) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else []
+    found = [(folder.rsplit("/", 1)[1], path.rsplit("/", 1)[1]) for folder, is_folder in folders if is_folder for path, below in children(spark, folder) if not below]
+    files = spark.createDataFrame(found, "name string, file string").groupBy("name").agg(F.array_sort(F.collect_list("file")).alias("downloaded"))
+    return registry.join(files, "name", "left").withColumn("downloaded", F.coalesce("downloaded", F.array().cast("array<string>")))
+
+
+def gaps(manifest_rows: DataFrame) -> DataFrame:
+    """(benchmark, problem) of the primary benchmarks without files, as gates takes them."""
+    lacking = manifest_rows.where((F.col("role") == "primary") & (F.size("downloaded") == 0))
+    return lacking.select(F.col("name").alias("benchmark"), F.lit("not downloaded").alias("problem"))
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """A folder of JSON arrays, one a partition, each row on a line of its own; json_array reads them as one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = False
+        for pdf in frames:
+            if len(pdf):
+                lines = [("," if opened or i else "[") + x for i, x in enumerate(pdf["json"])]
+                opened = True
+                yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["]" if opened else "[]"]})
+
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")).mapInPandas(run, "value string").write.text(path)
+
+
 def publish_plan(spark: SparkSession, root: str, allow: tuple[str, ...], never: tuple[str, ...] = ()) -> DataFrame:
     """(path, bytes) of the files below root that would be published: relative paths that allow lists, or whose folder it lists.
 

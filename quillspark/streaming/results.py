@@ -2,40 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.operators import evaluate
-from quillspark.sources.files import children
 
 KEYS = ["benchmark", "eval_id", "script"]
 SCHEMA = "benchmark string, eval_id string, script string, gold_answer string, answer_type string, output string, seq long"
 
 
-def _earlier(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """Keys graded by batches before batch_id."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    found = [path for path, folder in children(spark, out) if folder and "/batch=" in path and int(path.rsplit("=", 1)[1]) < batch_id]
-    return spark.read.parquet(*found).select(*KEYS) if found else None
+def _first(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The row with the least seq of a key's first batch; nothing from then on."""
+    if state.exists:
+        for _ in rows:
+            pass
+        return
+    least = pd.concat([r.nsmallest(1, "seq") if r["seq"].notna().any() else r.head(1) for r in rows])
+    state.update((True,))
+    yield least.sort_values("seq").head(1)
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The first row of each key of a stream of SCHEMA. A flag for each key is kept as state, by the key's hash; nothing is read twice."""
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    once = lines.groupBy(*KEYS).applyInPandasWithState(_first, SCHEMA, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    # The state operator's rows can't go to an Arrow function as they are; an expression makes them over.
+    return once.select(*[F.concat(c, F.lit("")).alias(c) if c == "output" else F.col(c) for c in columns])
 
 
 def grade_stream(spark: SparkSession, source: str, out: str, checkpoint: str) -> StreamingQuery:
     """Grade what is in source and not yet in out, then stop; a later call goes on from checkpoint.
 
-    Of equal keys in one batch the least seq counts; keys of earlier batches are left out by an anti
-    join with what was written, so no state grows in memory. Each batch owns a folder that a repeated
-    batch overwrites: no row is graded twice. Undecodable lines are skipped.
+    Of equal keys in one batch the least seq counts, of later ones none. out is a file sink: what a
+    batch writes counts once it is whole. Undecodable lines are skipped.
     """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c not in KEYS]
-        one = batch.groupBy(*KEYS).agg(F.min_by(F.struct(*rest), "seq").alias("_r")).select(*KEYS, "_r.*")
-        done = _earlier(spark, out, batch_id)
-        if done is not None:
-            one = one.join(done, KEYS, "left_anti")
-        evaluate.grade(one).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
     lines = spark.readStream.schema(SCHEMA).option("mode", "DROPMALFORMED").json(source)
-    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    graded = evaluate.grade(first_lines(lines))
+    return graded.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import dedup, splits
+from quillspark.operators import curate, dedup, splits
 from quillspark.operators.cuts import new_path
 from quillspark.plans import build, library, stages
 from quillspark.plans.curation import master_rows
@@ -28,7 +28,10 @@ def test_banded_links_are_true_and_most_are_found(spark):
     sets = dedup.shingled(keys, "id", "key").cache()
     exact = {(r.a, r.b) for r in dedup.similar_pairs(sets, threshold=0.9).collect()}
     found = {(r.a, r.b) for r in dedup.banded_links(sets).collect()}
-    assert found <= exact and len(found) >= 0.7 * len(exact)
+    assert found <= exact and len(found) >= 0.98 * len(exact)
+    left, right = sets.where("id % 2 = 0"), sets.where("id % 2 = 1")
+    across = [(r.a, r.b) for r in dedup.cross_banded_pairs(left, right).collect()]
+    assert len(across) == len(set(across)) and {(a, b) for a, b in exact if a % 2 != b % 2} <= {(min(p), max(p)) for p in across}
 
 
 @needs_tables
@@ -86,3 +89,37 @@ def test_banded_links_beside_a_smaller_unlike_id(spark):
     want = {(a, b) for a in own for b in own if a < b and low[a] == low[b] and len(own[a] & own[b]) >= 0.9 * len(own[a] | own[b])}
     got = [(r.a, r.b) for r in dedup.banded_links(sets, permutations=1, bands=1).collect()]
     assert len(want) > 100 and set(got) == want and len(got) == len(want)
+
+
+def test_json_arrays(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\n\"b", None), (2, None, [1, 2]), (3, "প", [])], "id int, t string, n array<int>")
+    for i, df in enumerate((rows.repartition(2), rows.limit(0))):
+        files.write_json_array(df, f"{tmp_path}/{i}")
+        assert sorted(map(repr, files.json_array(spark, f"{tmp_path}/{i}", rows.schema).collect())) == sorted(map(repr, df.collect()))
+
+
+def test_manifest_and_gaps(spark, tmp_path):
+    for name in ("one/b.csv", "one/a.csv", "two/c.json", "stray.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    known = spark.createDataFrame([("one", "primary"), ("two", "secondary"), ("three", "primary"), ("four", "secondary")], "name string, role string")
+    rows = files.manifest(spark, known, str(tmp_path))
+    assert {r.name: r.downloaded for r in rows.collect()} == {"one": ["a.csv", "b.csv"], "two": ["c.json"], "three": [], "four": []}
+    assert [(r.benchmark, r.problem) for r in files.gaps(rows).collect()] == [("three", "not downloaded")]
+    assert files.gaps(files.manifest(spark, known, f"{tmp_path}/absent")).count() == 2
+
+
+def test_benchmark_is_filtered_sampled_and_limited(spark):
+    rows = spark.range(300).selectExpr("concat('e', lpad(id, 3, '0')) AS eval_id", "id % 3 != 0 AS verifiable", "id % 5 != 0 AS variants_differ", "CAST(id % 4 AS STRING) AS stratum")
+    got = files.load_benchmark(rows, limit=30, sample=40).collect()
+    assert len(got) == 30 and all(r.verifiable and r.variants_differ for r in got) and [r.eval_id for r in got] == sorted(r.eval_id for r in got)
+    assert files.load_benchmark(rows).count() == 160 and files.load_benchmark(rows, gradable=False).count() == 300 and files.load_benchmark(rows, sample=1000).count() == 160
+
+
+def test_eval_records(spark):
+    rows = spark.createDataFrame([(0, "১ + 1?", " 2 ", "k", None), (1, "  ", "2", "k", "x"), (2, "q", None, "", "x"), (3, "no digits", "(B) 5", "k", "")], "i int, q string, a string, kind string, meta string")
+    got = {r.eval_id: r for r in curate.eval_records(rows, "bench", F.col("i"), "q", "a", ("kind", "meta")).collect()}
+    assert (got["bench_0"].question_ar_digits, got["bench_0"].question_bn_digits, got["bench_0"].gold_answer, got["bench_0"].verifiable, got["bench_0"].meta) == ("1 + 1?", "১ + ১?", "2", True, {"kind": "k"})
+    assert [got[f"bench_{i}"].skip_reason for i in range(4)] == [None, "empty_question", "empty_answer", None] and not got["bench_3"].variants_differ
+    report = {(r.measure, r.name): r.n for r in curate.eval_report(curate.eval_records(rows, "bench", F.col("i"), "q", "a")).collect()}
+    assert report == {("records", "problems"): 2, ("records", "variants_differ"): 1, ("records", "verifiable"): 2, ("records", "usable_for_agreement"): 1, ("answer_type", "numeric"): 1, ("answer_type", "mcq_option"): 1, ("original_script", "mixed"): 1, ("original_script", "no_digits"): 1, ("skipped", "empty_question"): 1, ("skipped", "empty_answer"): 1}
