@@ -89,6 +89,11 @@ def gradable() -> Column:
 REQUIRED = ("id", "source", "pool", "question_bn", "question_ar_digits", "question_bn_digits", "final_answer", "answer_type", "verifiable", "flags")
 
 
+def repeated(rows: DataFrame, *ids: str) -> DataFrame:
+    """(ids, n): ids that more than one row has."""
+    return rows.groupBy(*ids).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def gates(records: DataFrame, splits: DataFrame, eval_keys: DataFrame, key: Column, gaps: DataFrame | None = None) -> DataFrame:
     """(gate, severity, violations): fail or warn, and how many rows break each gate.
 
@@ -116,7 +121,7 @@ def gates(records: DataFrame, splits: DataFrame, eval_keys: DataFrame, key: Colu
         return df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("gate"), F.lit("fail").alias("severity"), "violations")
 
     parts += [
-        total("duplicate_ids", ids.groupBy("id").count().where("count > 1")),
+        total("duplicate_ids", repeated(ids, "id")),
         total("split_overlap", splits.groupBy("id").agg(F.count_distinct("split").alias("n")).where("n > 1")),
         total("split_coverage", ids.join(splits, "id", "left_anti")), total("split_unknown_ids", splits.join(ids, "id", "left_anti")),
         total("contaminated", slim.join(eval_keys.where("key != ''").distinct(), "key", "left_semi")),

@@ -7,6 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.operators.dedup import shingled, similar_pairs
 
 
+def owners(evals: DataFrame) -> DataFrame:
+    """(key, exact_benchmark): which of evals (ord, benchmark, key) owns each key, the first registered."""
+    return evals.where("key != ''").groupBy("key").agg(F.min_by("benchmark", "ord").alias("exact_benchmark"))
+
+
+def exact(train: DataFrame, evals: DataFrame) -> DataFrame:
+    """train (..., key) with exact_benchmark, null where no benchmark has the key."""
+    return train.join(owners(evals), "key", "left")
+
+
 def reasons(train: DataFrame, evals: DataFrame, lineage: DataFrame, loaded: DataFrame, threshold: float = 0.8) -> DataFrame:
     """train (id, source, key) with reason (exact, near, lineage, lineage_unverifiable or null) and benchmark.
 
@@ -16,8 +26,8 @@ def reasons(train: DataFrame, evals: DataFrame, lineage: DataFrame, loaded: Data
     """
     if evals.isEmpty():
         raise ValueError("no benchmark is loaded: refusing to call anything clean")
-    first = evals.where("key != ''").groupBy("key").agg(F.min_by("benchmark", "ord").alias("exact_benchmark"))
-    hit = train.join(first, "key", "left")
+    first = owners(evals)
+    hit = exact(train, evals)
     open_ = hit.where("exact_benchmark is null").select("id", "key")
     near = similar_pairs(shingled(open_, "id", "key"), shingled(evals.select(F.col("ord").alias("id"), "key"), "id", "key"), threshold)
     owner = near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("ord")).join(evals.select("ord", F.col("benchmark").alias("near_benchmark")), "ord").drop("ord")

@@ -10,7 +10,7 @@ from quillspark.operators.cuts import new_path
 from quillspark.plans import stages
 from quillspark.plans.catalog import query
 from quillspark.plans.curation import master_rows
-from quillspark.plans.library import GRAMS_OF, KEY_SQL, RESULTS_SQL, keyed, read, result_log
+from quillspark.plans.library import GRAMS_OF, KEY_SQL, MEASURES_SQL, RESULTS_SQL, VERDICT_SQL, keyed, read, result_log
 from quillspark.sources import files
 from quillspark.streaming import results
 
@@ -23,6 +23,35 @@ def json_round_trip(spark, sf_dir):
     return files.json_lines(spark, path, rows.schema)
 
 
+@query("s_json_array", "SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS region FROM nation")
+def json_array_round_trip(spark, sf_dir):
+    rows, path = read(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name", "if(n_regionkey > 1, n_regionkey, null) AS region"), new_path(spark, "array")
+    files.write_json_array(rows.repartition(3), path)
+    return files.json_array(spark, path, rows.schema)
+
+
+@query("s_manifest", "SELECT 'one' AS name, 'primary' AS role, 1 AS files, false AS gap UNION ALL SELECT 'two', 'secondary', 0, false UNION ALL SELECT 'three', 'primary', 0, true")
+def manifest(spark, sf_dir):
+    root = new_path(spark, "fetched")
+    read(spark, sf_dir, "region").coalesce(1).write.parquet(f"{root}/one")
+    known = spark.createDataFrame([("one", "primary"), ("two", "secondary"), ("three", "primary")], "name string, role string")
+    rows = files.manifest(spark, known, root)
+    lacking = files.gaps(rows).select(F.col("benchmark").alias("name"), F.lit(True).alias("gap"))
+    n = F.size(F.filter("downloaded", lambda f: f.endswith(".parquet")))
+    return rows.join(lacking, "name", "left").select("name", "role", n.alias("files"), F.coalesce("gap", F.lit(False)).alias("gap"))
+
+
+@query("s_load_benchmark", """
+WITH r AS (SELECT c_custkey AS eval_id, c_mktsegment, md5('3:' || c_custkey) AS o FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o, eval_id) AS r FROM r), p AS (SELECT greatest(1, 61 // count(DISTINCT c_mktsegment)) AS per FROM r),
+f AS (SELECT eval_id FROM k, p WHERE r <= per), t AS (SELECT eval_id, row_number() OVER (ORDER BY o, eval_id) AS i FROM k, p WHERE r > per),
+s AS (SELECT eval_id FROM f UNION ALL SELECT eval_id FROM t WHERE i <= 61 - (SELECT count(*) FROM f))
+SELECT eval_id FROM s ORDER BY eval_id LIMIT 50""")
+def sampled_benchmark(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS eval_id", "c_mktsegment", "c_custkey % 3 != 0 AS verifiable", "c_custkey % 7 != 0 AS variants_differ")
+    return files.load_benchmark(rows, limit=50, sample=61, stratum="c_mktsegment", seed=3).select("eval_id")
+
+
 @query("s_delimited", "SELECT c_custkey, c_name || ', \"' || c_mktsegment || '\"' AS noted FROM customer")
 def delimited_round_trip(spark, sf_dir):
     path = new_path(spark, "delimited")
@@ -63,12 +92,13 @@ def publish_plan(spark, sf_dir):
 
 
 @query("fn_registered", f"""
-SELECT doc_id, md5({KEY_SQL}) AS key, translate(lang || doc_id, '0123456789', '০১২৩৪৫৬৭৮৯') AS bn, 'bengali' AS native, true AS differ FROM documents""")
+SELECT doc_id, md5({KEY_SQL}) AS key, translate(lang || doc_id, '0123456789', '০১২৩৪৫৬৭৮৯') AS bn, CASE WHEN doc_id % 2 = 0 THEN 'bengali' ELSE 'none' END AS native, doc_id % 2 = 0 AS differ, 'fraction' AS kind, CASE WHEN doc_id = 0 THEN 'fraction|0/1' WHEN doc_id % 4 = 0 THEN 'fraction|' || doc_id // 4 || '/1' WHEN doc_id % 2 = 0 THEN 'fraction|' || doc_id // 2 || '/2' ELSE 'fraction|' || doc_id || '/4' END AS value, doc_id % 3 = 0 AS right FROM documents""")
 def registered_functions(spark, sf_dir):
     registry.register(spark)
     read(spark, sf_dir, "documents").createOrReplaceTempView("quillspark_documents")
     return spark.sql("""SELECT doc_id, md5(cast(matching_key(text) AS binary)) AS key, to_bn_digits(lang || doc_id) AS bn,
-        native_script(to_bn_digits(lang || doc_id)) AS native, variants_differ(lang || doc_id) AS differ FROM quillspark_documents""")
+        native_script(to_bn_digits(lang || if(doc_id % 2 = 0, cast(doc_id AS string), ''))) AS native, variants_differ(lang || if(doc_id % 2 = 0, cast(doc_id AS string), '')) AS differ, answer_type(doc_id || '/4') AS kind, canonical_key(doc_id || '/4') AS value,
+        verify_answer('#### ' || (doc_id + doc_id % 3) || '/4', doc_id || '/4').correct AS right FROM quillspark_documents""")
 
 
 def _votes(rows: str, cluster: str) -> str:
@@ -110,6 +140,14 @@ def banded_links(spark, sf_dir):
     return dedup.banded_links(dedup.shingled(keys, "id", "key"))
 
 
+@query("n5_cross_banded")
+def cross_banded(spark, sf_dir):
+    """Candidates between even and odd documents that share a band."""
+    keys = keyed(spark, sf_dir).groupBy("key").agg(F.min("doc_id").alias("id"))
+    sets = dedup.shingled(keys, "id", "key")
+    return dedup.cross_banded_pairs(sets.where("id % 2 = 0"), sets.where("id % 2 = 1"))
+
+
 @query("w2_bucket")
 def id_buckets(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), splits.bucket("c_custkey").alias("bucket"))
@@ -140,17 +178,19 @@ def graded_stream(spark, sf_dir):
 
 @query("e12_parse_rates", f"""WITH {RESULTS_SQL},
 m AS (SELECT benchmark, CASE WHEN va IS NOT NULL THEN 'boxed' END AS extraction_method FROM p UNION ALL SELECT benchmark, CASE WHEN vb IS NOT NULL THEN 'boxed' END FROM p)
-SELECT benchmark, extraction_method, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY benchmark), 9) AS share, false AS low FROM m GROUP BY 1, 2""")
+SELECT benchmark, extraction_method, CAST(count(*) AS BIGINT) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY benchmark), 9) AS share, sum(count(*)) FILTER (WHERE extraction_method IS NOT NULL) OVER (PARTITION BY benchmark) < 0.5 * sum(count(*)) OVER (PARTITION BY benchmark) AS low FROM m GROUP BY 1, 2""")
 def parse_rates(spark, sf_dir):
     both = result_log(spark, sf_dir).join(evaluate.paired(result_log(spark, sf_dir)).select("benchmark", "eval_id"), ["benchmark", "eval_id"], "left_semi")
     return evaluate.parse_rates(both, ["benchmark"]).withColumn("share", F.round("share", 9))
 
 
-@query("e11_models", f"""WITH {RESULTS_SQL}, m AS (SELECT unnest(['large', 'small']) AS model, unnest([0.0, 0.5]) AS less)
-SELECT model, CAST(count(*) AS BIGINT) AS n_paired, round(avg(CAST(va IS NOT DISTINCT FROM vb AS INT)) * (1 - max(less)), 9) AS answer_agreement, 'inconsistent' AS verdict FROM p, m GROUP BY model""")
+@query("e11_models", f"""WITH {RESULTS_SQL}, m AS (SELECT unnest(['large', 'small']) AS model, unnest([0.0, 0.5]) AS less),
+x AS (SELECT benchmark, {MEASURES_SQL} FROM p GROUP BY 1), y AS (SELECT model, n_paired, answer_agreement * (1 - less) AS answer_agreement, accuracy_ar, accuracy_bn, parseable_ar, parseable_bn, CASE model WHEN 'small' THEN 1 ELSE truncated_bn END AS truncated_bn FROM x, m),
+z AS (SELECT model, CAST(sum(n_paired) AS BIGINT) AS n, {", ".join(f"sum({c} * n_paired) / sum(n_paired) AS {c}" for c in ("answer_agreement", "accuracy_ar", "accuracy_bn", "parseable_ar", "parseable_bn", "truncated_bn"))} FROM y GROUP BY 1)
+SELECT model, n AS n_paired, round(answer_agreement, 9) AS answer_agreement, {VERDICT_SQL} AS verdict FROM z""")
 def compare_models(spark, sf_dir):
     one = evaluate.metrics(evaluate.paired(result_log(spark, sf_dir)))
-    two = one.withColumn("answer_agreement", F.col("answer_agreement") * 0.5)
+    two = one.withColumn("answer_agreement", F.col("answer_agreement") * 0.5).withColumn("truncated_bn", F.lit(1.0))
     both = one.withColumn("model", F.lit("large")).unionByName(two.withColumn("model", F.lit("small")))
     return evaluate.compare_models(both).select("model", "n_paired", F.round("answer_agreement", 9).alias("answer_agreement"), "verdict")
 

@@ -8,7 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import curate, decontaminate, dedup, evaluate, splits
 from quillspark.operators.cuts import cut
 from quillspark.plans.catalog import query
-from quillspark.plans.library import KEY_SQL, RESULTS_SQL, keyed, read, result_log
+from quillspark.plans.library import KEY_SQL, MIXED, RESULTS_SQL, keyed, mixed_texts, read, result_log
 
 SPACE_SQL = r"[\t-\r\x1C-\x20\x{85}\p{Z}]"
 NORMAL_SQL = r"regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[ \t\x{A0}\x{200B}\x{200C}\x{200D}]+', ' ', 'g')"
@@ -100,17 +100,18 @@ def overall_metrics(spark, sf_dir):
     return m.select("n_paired", *[F.round(c, 9).alias(c) for c in ("accuracy_ar", "accuracy_bn", "answer_agreement", "correctness_flip")])
 
 
-@query("e7_fertility", """
-WITH t AS (SELECT translate(p_name || ' ' || p_size, '0123456789', '০১২৩৪৫৬৭৮৯') AS t FROM part)
-SELECT CAST(count(*) AS BIGINT) AS n, round(avg(strlen(t)), 9) AS mean_tokens, CAST(3.0 AS DOUBLE) AS digit_fertility FROM t""")
+@query("e7_fertility", f"""
+WITH t AS (SELECT {MIXED} AS t FROM part), d AS (SELECT t, regexp_replace(t, '[^0-9০-৯]+', '', 'g') AS d FROM t)
+SELECT CAST(count(*) AS BIGINT) AS n, round(avg(strlen(t)), 9) AS mean_tokens, round(sum(strlen(d)) / sum(length(d)), 9) AS digit_fertility FROM d""")
 def digit_fertility(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(T.to_bengali_digits(F.concat_ws(" ", "p_name", "p_size")).alias("t"))
-    return evaluate.fertility(rows, "t").select("n", F.round("mean_tokens", 9).alias("mean_tokens"), "digit_fertility")
+    rows = mixed_texts(spark, sf_dir)
+    return evaluate.fertility(rows, "t").select("n", F.round("mean_tokens", 9).alias("mean_tokens"), F.round("digit_fertility", 9).alias("digit_fertility"))
 
 
-@query("g12_repeated_ids", "SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("g12_repeated_ids", "SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey, l_linenumber % 3 AS l_linenumber FROM lineitem) GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_ids(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("l_linenumber"))
+    return curate.repeated(rows, "l_orderkey", "l_linenumber")
 
 
 @query("u_set_operations", """
@@ -148,17 +149,69 @@ def records(spark, sf_dir):
 
 
 @query("q_gates", f"""
-WITH r AS (SELECT p_partkey AS i, p_size, ({REASON_SQL}) IS NULL AS kept FROM part),
-c AS (SELECT count(*) FILTER (WHERE kept AND i % 3 <> 0 AND i % 4 <> 0 AND i % 2 = 1) AS disagrees, count(*) FILTER (WHERE i % 9 <> 0 AND i % 8 = 0) AS overlap, count(*) FILTER (WHERE kept AND i % 9 = 0) AS uncovered,
-  count(*) FILTER (WHERE NOT kept AND i % 9 <> 0) + count(*) FILTER (WHERE NOT kept AND i % 9 <> 0 AND i % 8 = 0) AS unknown, count(*) FILTER (WHERE kept AND p_size = 7) AS hit FROM r)
-SELECT gate, severity, CAST(violations AS BIGINT) AS violations FROM c, LATERAL (VALUES ('pool_and_chain', 'fail', 0), ('chain_not_native', 'fail', 0), ('verifiable_without_value', 'fail', 0), ('chain_disagrees', 'fail', disagrees), ('answer_conflict', 'warn', 0),
-  ('duplicate_ids', 'fail', 0), ('split_overlap', 'fail', overlap), ('split_coverage', 'fail', uncovered), ('split_unknown_ids', 'fail', unknown), ('contaminated', 'fail', hit), ('required_fields', 'fail', 0)) v(gate, severity, violations)""")
+WITH r AS (SELECT p_partkey AS i, p_size, ({REASON_SQL}) IS NULL AS kept FROM part), k AS (SELECT * FROM r WHERE kept),
+s AS (SELECT i, i % 3 <> 0 AS sft FROM k),
+c AS (SELECT count(*) FILTER (WHERE k.i % 17 = 0) + count(*) FILTER (WHERE k.i % 34 = 1) AS chains, count(*) FILTER (WHERE sft AND k.i % 17 = 0) + count(*) FILTER (WHERE sft AND k.i % 17 <> 0 AND k.i % 19 = 0) AS foreign_,
+  count(*) FILTER (WHERE k.i % 23 = 0) AS valueless, count(*) FILTER (WHERE k.i % 29 = 0) AS conflict FROM k JOIN s USING (i)),
+o AS (SELECT count(*) FILTER (WHERE i % 9 <> 0 AND i % 8 = 0) AS overlap, count(*) FILTER (WHERE kept AND i % 9 = 0) AS uncovered,
+  count(*) FILTER (WHERE NOT kept AND i % 9 <> 0) + count(*) FILTER (WHERE NOT kept AND i % 9 <> 0 AND i % 8 = 0) AS unknown, count(*) FILTER (WHERE kept AND p_size = 7) AS hit, count(*) FILTER (WHERE kept AND i % 37 = 0) AS twice FROM r)
+SELECT gate, severity, CAST(violations AS BIGINT) AS violations FROM o, LATERAL (VALUES
+  ('duplicate_ids', 'fail', twice), ('split_overlap', 'fail', overlap), ('split_coverage', 'fail', uncovered + (SELECT count(*) FROM k WHERE i % 37 = 0 AND i % 9 = 0)), ('split_unknown_ids', 'fail', unknown),
+  ('contaminated', 'fail', hit + (SELECT count(*) FROM k WHERE i % 37 = 0 AND p_size = 7)), ('required_fields', 'fail', 1), ('declared_gaps', 'warn', 2)) v(gate, severity, violations)
+UNION ALL SELECT * FROM (
+WITH k AS (SELECT p_partkey AS i, p_size FROM part WHERE ({REASON_SQL}) IS NULL), b AS (SELECT * FROM k UNION ALL SELECT * FROM k WHERE i % 37 = 0),
+f AS (SELECT i, i % 3 <> 0 AS sft, i % 17 = 0 AS no_chain, i % 17 <> 0 AND i % 19 = 0 AS latin, i % 23 = 0 AS bad, i % 4 <> 0 AND i % 2 = 1 AS odd, i % 29 = 0 AS flag FROM b)
+SELECT gate, severity, CAST(n AS BIGINT) FROM (SELECT
+  count(*) FILTER (WHERE (sft AND no_chain) OR (NOT sft AND NOT no_chain AND latin)) AS a, count(*) FILTER (WHERE sft AND (no_chain OR latin)) AS b, count(*) FILTER (WHERE bad) AS c,
+  count(*) FILTER (WHERE sft AND (no_chain OR latin OR odd OR bad)) AS d, count(*) FILTER (WHERE flag) AS e FROM f), LATERAL (VALUES
+  ('pool_and_chain', 'fail', a), ('chain_not_native', 'fail', b), ('verifiable_without_value', 'fail', c), ('chain_disagrees', 'fail', d), ('answer_conflict', 'warn', e)) v(gate, severity, n))""")
 def quality_gates(spark, sf_dir):
-    kept = cut(curate.build_records(master_rows(spark, sf_dir), ("bad",)).where("drop_reason is null"), "records")
+    """Records that break every gate: chains taken away or in Latin, values that don't compute, flags, repeats, a field left out."""
+    kept = curate.build_records(master_rows(spark, sf_dir), ("bad",)).where("drop_reason is null").withColumn("i", F.col("id").cast("int"))
+    i = F.col("i")
+    kept = kept.withColumn("solution_bn", F.when(i % 17 == 0, F.lit(None)).when(i % 19 == 0, F.lit(LATIN_CHAIN)).otherwise(F.col("solution_bn")))
+    kept = kept.withColumn("final_answer", F.when(i % 23 == 0, F.lit("1/0")).otherwise(F.col("final_answer"))).withColumn("answer_type", F.when(i % 23 == 0, F.lit("fraction")).otherwise(F.col("answer_type")))
+    kept = kept.withColumn("flags", F.when(i % 29 == 0, F.array_append("flags", F.lit("answer_conflict"))).otherwise(F.col("flags")))
+    kept = cut(kept.unionByName(kept.where("i % 37 = 0")).drop("question_bn_digits", "i"), "records")
     ids = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("i")).where("i % 9 != 0")
     assigned = ids.select("id", F.lit("train").alias("split")).unionByName(ids.where("i % 8 = 0").select("id", F.lit("val").alias("split")))
     keys = read(spark, sf_dir, "part").where("p_size = 7").select(T.matching_key(F.concat(F.lit("প্রশ্ন "), F.col("p_size").cast("string"))).alias("key"))
-    return curate.gates(kept, assigned, keys, T.matching_key("question_bn"))
+    gaps = spark.createDataFrame([("x", "not downloaded"), ("y", "not readable")], "benchmark string, problem string")
+    return curate.gates(kept, assigned, keys, T.matching_key("question_bn"), gaps)
+
+
+# Eval rows from parts: blank questions and answers, answers of several types, metadata that may be empty.
+EVAL_ANSWER = "CASE p_partkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN p_size || '/7' WHEN 3 THEN p_size || '%' WHEN 4 THEN 'C' ELSE 'x + ' || p_size END"
+
+
+@query("f_eval_records", f"""
+WITH e AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {MIXED} END AS q, trim({EVAL_ANSWER}) AS a, p_brand FROM part),
+r AS (SELECT *, CASE WHEN q = '' THEN 'empty_question' WHEN a = '' THEN 'empty_answer' END AS skip_reason FROM e)
+SELECT 'parts_' || i AS eval_id, translate(q, '০১২৩৪৫৬৭৮৯', '0123456789') AS ar, translate(q, '0123456789', '০১২৩৪৫৬৭৮৯') AS bn, regexp_matches(q, '[0-9০-৯]') AS variants_differ, translate(a, '0123456789', '০১২৩৪৫৬৭৮৯') AS gold_bn,
+  CASE i % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'numeric' WHEN 2 THEN 'fraction' WHEN 3 THEN 'percent' WHEN 4 THEN 'mcq_option' ELSE 'expression' END AS answer_type, i % 6 BETWEEN 1 AND 4 AS verifiable,
+  CASE WHEN i % 2 = 0 THEN p_brand END AS brand, skip_reason FROM r""")
+def eval_records(spark, sf_dir):
+    records = _eval_records(spark, sf_dir)
+    return records.select(
+        "eval_id", F.col("question_ar_digits").alias("ar"), F.col("question_bn_digits").alias("bn"), "variants_differ", F.col("gold_answer_bn_digits").alias("gold_bn"), "answer_type", "verifiable",
+        F.col("meta")["brand"].alias("brand"), "skip_reason",
+    )
+
+
+def _eval_records(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.expr(f"CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE {MIXED} END").alias("q"), F.expr(EVAL_ANSWER).alias("a"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END").alias("brand"))
+    return curate.eval_records(rows, "parts", F.col("p_partkey"), "q", "a", ("brand",))
+
+
+@query("f_eval_report", f"""
+WITH e AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {MIXED} END AS q FROM part), k AS (SELECT *, regexp_matches(q, '[0-9]') AS x, regexp_matches(q, '[০-৯]') AS y FROM e WHERE q <> '' AND i % 6 <> 0),
+a AS (SELECT 'records' AS measure, unnest(['problems', 'variants_differ', 'verifiable', 'usable_for_agreement']) AS name, unnest([count(*), count(*) FILTER (WHERE x OR y), count(*) FILTER (WHERE i % 6 < 5), count(*) FILTER (WHERE i % 6 < 5 AND (x OR y))]) AS n FROM k
+UNION ALL SELECT 'answer_type', CASE i % 6 WHEN 1 THEN 'numeric' WHEN 2 THEN 'fraction' WHEN 3 THEN 'percent' WHEN 4 THEN 'mcq_option' ELSE 'expression' END, count(*) FROM k GROUP BY 2
+UNION ALL SELECT 'original_script', CASE WHEN x AND y THEN 'mixed' WHEN x THEN 'arabic' WHEN y THEN 'bengali' ELSE 'no_digits' END, count(*) FROM k GROUP BY 2
+UNION ALL SELECT 'skipped', CASE WHEN q = '' THEN 'empty_question' ELSE 'empty_answer' END, count(*) FROM e WHERE q = '' OR i % 6 = 0 GROUP BY 2)
+SELECT 'parts' AS benchmark, measure, name, CAST(n AS BIGINT) AS n FROM a""")
+def eval_report(spark, sf_dir):
+    return curate.eval_report(_eval_records(spark, sf_dir))
 
 
 @query("f8_script_pairs", f"""

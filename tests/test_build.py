@@ -84,7 +84,7 @@ def test_banded_links_beside_a_smaller_unlike_id(spark):
         rows.append((g * 10, base[:60]))  # similar to the others by 0.6 only
         rows += [(g * 10 + k, [*base, -g * 1000 - k]) for k in range(1, 6)]
     sets = spark.createDataFrame(rows, "id long, grams array<long>")
-    low = {r.id: r.m for r in sets.selectExpr("id", "array_min(transform(grams, g -> xxhash64(g, 0))) as m").collect()}
+    low = {r.id: r.sig[0] for r in dedup.signatures(sets, 1).collect()}
     own = {i: set(g) for i, g in rows}
     want = {(a, b) for a in own for b in own if a < b and low[a] == low[b] and len(own[a] & own[b]) >= 0.9 * len(own[a] | own[b])}
     got = [(r.a, r.b) for r in dedup.banded_links(sets, permutations=1, bands=1).collect()]
