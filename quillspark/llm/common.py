@@ -6,6 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.operators.columns import fresh
+from quillspark.operators.cuts import cut
+
 #: ASCII white space of the word patterns: \x20 and \x09-\x0D, as bytes.split() takes it.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,18 +43,6 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with underscores after it until df has no such column."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def row_key(doc_id: str, text_hash) -> F.Column:
     """What tells rows apart but for repeats of both doc_id and text: both in one string."""
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text_hash)
@@ -63,8 +54,6 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     It is the row with the smallest doc_id, null last, and the smallest th where that repeats; of rows
     that repeat both, one.
     """
-    from quillspark.operators.cuts import cut
-
     rows = cut(named.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")), "components")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("f"))
     first = first.select("component", row_key("f.doc_id", F.col("f.th")).alias("first_row"))

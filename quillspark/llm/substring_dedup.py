@@ -35,7 +35,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.common import SPACE, as_bytes, fresh, table
+from quillspark.llm.common import SPACE, as_bytes, table
+from quillspark.operators.columns import fresh
 from quillspark.operators.cuts import cut, release, remove
 
 WINDOW, GRAM = 13, 4

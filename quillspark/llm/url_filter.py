@@ -22,7 +22,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.llm.common import fresh, table
+from quillspark.llm.common import table
+from quillspark.operators.columns import fresh
 from quillspark.operators.cuts import cut
 
 #: Rules: key (host and beginning of the path) and verdict.
