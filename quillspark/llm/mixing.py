@@ -59,10 +59,10 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def _placed(docs: DataFrame, weights: dict[str | None, int] | None, block_docs: int) -> DataFrame:
-    """(row, source, block, slot, position) of docs, row being all columns of docs in one."""
+def _placed(docs: DataFrame, weights: dict[str | None, int] | None, block_docs: int, carried: list[str]) -> DataFrame:
+    """(row, source, block, slot, position) of docs, row being the columns carried along in one."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("row"), "source", _key(F.col("source")).alias("s"), "doc_id", F.xxhash64("doc_id", "text").alias("h"))
+    rows = docs.select(F.struct(*carried).alias("row"), "source", _key(F.col("source")).alias("s"), "doc_id", F.xxhash64("doc_id", "text").alias("h"))
     found = {r["s"]: r["count"] for r in rows.groupBy("s").count().limit(MAX_SOURCES + 1).collect()}
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -97,19 +97,19 @@ def _quoted(names: list[str]) -> list[str]:
 
 def mix_order(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, source, block, slot, position): slot orders the mixture, position the documents of a block."""
-    rows = _placed(docs.select("doc_id", "source", "text"), weights, block_docs)
+    rows = _placed(docs, weights, block_docs, ["doc_id"])
     return rows.select(F.col("row.doc_id").alias("doc_id"), "source", "block", "slot", "position")
 
 
 def placed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows of docs with slot and position, which order the mixture however the rows are stored and read; given columns of these names are replaced."""
     kept = [c for c in docs.columns if c.lower() not in ("slot", "position")]
-    return _placed(docs, weights, block_docs).select(*[F.col("row")[c].alias(c) for c in kept], "slot", "position")
+    return _placed(docs, weights, block_docs, kept).select(*[F.col("row")[c].alias(c) for c in kept], "slot", "position")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows of docs in the mixture's order: partitions follow each other, rows in them too."""
-    rows = _placed(docs, weights, block_docs)
+    rows = _placed(docs, weights, block_docs, docs.columns)
     return rows.repartitionByRange("slot").sortWithinPartitions("slot", "position").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
