@@ -27,30 +27,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillspark.llm.common import table
-from quillspark.llm.vectors import cosines, lengths, load, matrix, meet, sample, unit
+from quillspark.llm.vectors import cosines, lengths, load, matrix, meet, sample, steps, unit
 from quillspark.operators.cuts import cut
 
 K = 5
-#: Pivots for each root of the number of vectors; 65,536 at most, as many as two bytes can name.
-PIVOTS, MOST_PIVOTS = 2, 1 << 16
+#: Pivots for each root of the number of vectors.
+PIVOTS = 2
 #: Pivots in a permutation; of which a vector is posted with; whose files a query opens.
 LENGTH, POSTED, OPENED = 96, 4, 64
-#: The share to be reranked, times the root of the number of vectors; the vectors it is told from.
+#: The share to be reranked, times the root of the number of vectors; the vectors it is told from, or as many as pivots if more.
 RERANK, SAMPLE = 16, 4096
 #: Queries judged at once.
 AT_ONCE = 256
 FOUND = "query_id long, vec_id long, score double"
 
 
+def number(pivots: int) -> type:
+    """The type that names a pivot."""
+    return np.uint16 if pivots <= 1 << 16 else np.uint32
+
+
 def permutations(v: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each row, nearest first."""
-    near = v @ pivots.T
-    if length < near.shape[1]:
-        some = np.argpartition(-near, length - 1, axis=1)[:, :length]
-    else:
-        some = np.broadcast_to(np.arange(near.shape[1]), near.shape)
-    order = np.lexsort((some, -np.take_along_axis(near, some, 1)), axis=1)
-    return np.take_along_axis(some, order, 1).astype(np.uint16)
+    out = np.empty((len(v), length), number(len(pivots)))
+    for part in steps(len(v), len(pivots)):
+        near = v[part] @ pivots.T
+        if length < near.shape[1]:
+            some = np.argpartition(-near, length - 1, axis=1)[:, :length]
+        else:
+            some = np.broadcast_to(np.arange(near.shape[1]), near.shape)
+        order = np.lexsort((some, -np.take_along_axis(near, some, 1)), axis=1)
+        out[part] = np.take_along_axis(some, order, 1)
+    return out
 
 
 def footrule(mine: np.ndarray, theirs: np.ndarray, pivots: int) -> np.ndarray:
@@ -109,11 +117,11 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
 def _search(every: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) within vectors (vec_id, v) of one length."""
     spark, n = every.sparkSession, every.count()
-    pivots = max(1, min(MOST_PIVOTS, round(PIVOTS * math.sqrt(n)), n))
+    pivots = max(1, min(round(PIVOTS * math.sqrt(n)), n))
     drawn = sample(every, max(SAMPLE, pivots))
     chosen = drawn[:pivots]
     length, opened, posted = (min(x, pivots) for x in (LENGTH, OPENED, POSTED))
-    others = permutations(drawn[:SAMPLE], chosen, length)
+    others = permutations(drawn, chosen, length)
     shared = spark.sparkContext.broadcast((chosen, others))  # pivots x dimensions: the root of all rows
     share = min(1.0, RERANK / math.sqrt(n))
 
@@ -136,7 +144,7 @@ def _search(every: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({"key": perm.ravel().astype(np.int32), "vec_id": part["vec_id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "perm": blobs[at], "reach": reach[at].astype(np.float64)})
 
     def judge(key: int, members: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        order = lambda x: np.frombuffer(b"".join(x["perm"]), np.uint16).reshape(len(x), -1)
+        order = lambda x: np.frombuffer(b"".join(x["perm"]), number(pivots)).reshape(len(x), -1)
         theirs, mine = order(members), order(own)
         v, q = matrix(members["v"]), matrix(own["v"])
         ids, q_ids, reach = members["vec_id"].to_numpy(np.int64), own["vec_id"].to_numpy(np.int64), own["reach"].to_numpy(np.float64)

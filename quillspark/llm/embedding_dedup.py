@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import forest, table
-from quillspark.llm.vectors import cosines, lengths, load, matrix, meet, sample, unit
+from quillspark.llm.vectors import cosines, lengths, load, matrix, meet, sample, steps, unit
 from quillspark.operators.cuts import cut
 from quillspark.operators.graph import components
 
@@ -54,9 +54,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     return centres
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, rows: int = 8192) -> np.ndarray:
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(1) / 2
-    return np.concatenate([(x[i : i + rows] @ centres.T - half).argmax(1) for i in range(0, len(x), rows)] or [np.zeros(0, np.int64)])
+    return np.concatenate([(x[part] @ centres.T - half).argmax(1) for part in steps(len(x), len(centres))] or [np.zeros(0, np.int64)])
 
 
 class Quantizer:
@@ -88,10 +88,11 @@ class Quantizer:
 
     def margins(self, v: np.ndarray, own: np.ndarray, to: np.ndarray) -> np.ndarray:
         """How far each row of v, which is in list own, is from the border to each of the lists to."""
-        c = self.centres
-        far = (c * c).sum(1) - 2 * (v @ c.T)
-        apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c[to].T + (c[to] * c[to]).sum(1), 1e-18))
-        return (far[:, to] - far[np.arange(len(v)), own][:, None]) / (2 * apart[own])
+        c, square = self.centres, (self.centres * self.centres).sum(1)
+        far = square[to] - 2 * (v @ c[to].T) - (square[own] - 2 * (v * c[own]).sum(1))[:, None]
+        lists, at = np.unique(own, return_inverse=True)
+        apart = np.sqrt(np.maximum(square[lists][:, None] - 2 * c[lists] @ c[to].T + square[to], 1e-18))
+        return far / (2 * apart[at])
 
 
 def asks(own: np.ndarray, lists: int) -> np.ndarray:
@@ -152,11 +153,14 @@ def _links(classes: DataFrame, many: int, cosine: float) -> DataFrame:
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                q, v = shared.value, unit(matrix(pdf["v"]))
-                own, lists = nearest(v, q.centres), len(q.centres)
+            q = shared.value
+            lists = len(q.centres)
+            for part in steps(len(pdf), lists):
+                some = pdf.iloc[part]
+                v = unit(matrix(some["v"]))
+                own = nearest(v, q.centres)
                 at, key = np.nonzero(asks(own, lists) & (q.margins(v, own, np.arange(lists)) <= near))
-                yield pd.DataFrame({"key": key.astype(np.int32), "vec_id": pdf["vec_id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "own": own[at].astype(np.int32)})
+                yield pd.DataFrame({"key": key.astype(np.int32), "vec_id": some["vec_id"].to_numpy()[at], "v": some["v"].to_numpy()[at], "n": some["n"].to_numpy()[at], "own": own[at].astype(np.int32)})
 
     def compare(key: int, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         q, found = shared.value, Tally()

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Rows of each side that one task holds at once.
 BLOCK = 4096
+#: Distances of rows to pivots or centroids, which grow with the root of all rows, that are held at once.
+CELLS = 1 << 22
 
 
 def load(rows: DataFrame) -> DataFrame:
@@ -40,6 +42,13 @@ def matrix(blobs: pd.Series) -> np.ndarray:
     return np.ldexp(m, -np.frexp(np.abs(m).max(1, keepdims=True))[1])
 
 
+def steps(rows: int, others: int) -> Iterator[slice]:
+    """The rows in slices of which each has about CELLS distances to the others."""
+    step = max(1, CELLS // max(1, others))
+    for i in range(0, rows, step):
+        yield slice(i, i + step)
+
+
 def norms(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m * m).sum(1))
 
