@@ -5,7 +5,8 @@ letters to Latin ones, drops zero-width characters and turns the rest into space
 folded words and word beginnings of four to six letters (a stem for words of rich inflection), with
 their smoothed log odds as weights. Support counts documents, but neighbours (the word before and the
 word after) that recur count once, so that copies of one text lend a word no more than the text does;
-it must be improbable under the labels' base rate for as many terms as were tried. A word counts once,
+it must be improbable under the labels' base rate for as many terms as were tried. A word beginning must
+also be as pure in the words that are no entries themselves, or it lends their weight to other words. A word counts once,
 by its heaviest entry, unless it lies within an exception phrase.
 score = 1 - exp(-sum of weights / (SCALE * (1 + LENGTH * ln(1 + words/1000)))).
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -76,13 +77,24 @@ def terms(text: str | None) -> set[str]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        both = (Counter(), Counter())
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            both[toxic].update(terms(text))
-        keys = list(both[0].keys() | both[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in both)], ["term", "clean", "toxic"])
+def spread(text: str | None, entries: Collection[str]) -> set[str]:
+    """The stems among the entries by which a word of text matches that is no entry itself."""
+    rest = (w for w in set(fold(text).split()) if f" {w} " not in entries)
+    return {stem for w in rest for n in STEMS if len(w) >= n and (stem := f" {w[:n]}") in entries}
+
+
+def _counts(rows: DataFrame, of: Callable[[str | None], set[str]]) -> DataFrame:
+    """(term, clean, toxic): how many clean and toxic texts of rows (text, label) have each term that of finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = (Counter(), Counter())
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                both[toxic].update(of(text))
+            keys = list(both[0].keys() | both[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in both)], ["term", "clean", "toxic"])
+
+    return rows.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], wanted: set[str]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if not n.get(1):
         return {}
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label"), "labelled")
-    counts = rows.mapInArrow(_count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    tried = cut(counts.where("toxic >= 3"), "terms")
+    tried = cut(_counts(rows, terms).where("toxic >= 3"), "terms")
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
     bound = odds - 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = tried.where(F.col("toxic") >= PURITY * F.col("clean")).withColumn("w", odds).withColumn("bound", bound).where(F.col("bound") > LEAST)
@@ -138,6 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         b = best[r["term"]]
         if evidence(min(b["toxic"], r["1"]), min(b["clean"], r["0"]), share) > least:
             out[r["term"]] = round(b["w"], 6)
+    entries = frozenset(out)
+    for r in _counts(rows, lambda text: spread(text, entries)).where(F.col("toxic") < PURITY * F.col("clean")).collect():
+        del out[r["term"]]
     return out
 
 

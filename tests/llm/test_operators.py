@@ -350,6 +350,18 @@ def test_toxicity_evidence_ignores_copies(spark):
     assert toxicity.learn(df, df.select("doc_id", "toxic").where("toxic = 0")) == {}
 
 
+def test_toxicity_stems_dont_reach_clean_words(spark):
+    """The stem of a toxic word goes where clean words share it, and stays where inflections are toxic too."""
+    words = lambda i: " ".join(f"w{(i * 7919 + k * 104729) % 9973}x" for k in range(12))
+    rows = [(i, f"{words(i)} {('grubber', 'snarking', 'snarked', 'snarks')[i % 4]} {words(i + 5000)}", 1) for i in range(160)]
+    rows += [(1000 + i, words(i + 20000) + (" grubling" if i % 60 == 0 else ""), 0) for i in range(480)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.learn(df, df.select("doc_id", "toxic"))
+    assert " grubber " in found and " grubb" in found and " grub" not in found and " snar" in found
+    m = toxicity.Matcher(found)
+    assert m.score("a grubling") == 0 and m.score("snarkiest") >= 0.5 and m.score("gru8ber") >= 0.5
+
+
 @pytest.mark.parametrize("least", [0, 1 << 40])
 def test_substrings_of_hot_anchors(spark, monkeypatch, least):
     """The same rows whether every repeated anchor is hot or none is."""

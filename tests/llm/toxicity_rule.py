@@ -20,7 +20,14 @@ def features(rows):
             for x in own: ctx[x].add(a)
         out.append((y,f,dict(ctx),t))
     return out
-def learn(fs,least,purity,chance,usectx):
+def spread(out,fs,purity):
+    """Entries without the stems that are less pure in words that are no entries."""
+    c=(Counter(),Counter())
+    for y,_,ctx,_ in fs:
+        rest=[t[1:-1] for t in ctx if t.endswith(" ") and t not in out]
+        c[y].update({s for w in rest for n in T.STEMS if len(w)>=n and (s:=f" {w[:n]}") in out})
+    return {t:w for t,w in out.items() if c[1][t]>=purity*c[0][t]}
+def learn(fs,least,purity,chance,usectx,pure=True):
     c=(Counter(),Counter()); n=[0,0]
     for y,_,ctx,_ in fs:
         n[y]+=1; c[y].update(ctx.keys())
@@ -37,7 +44,7 @@ def learn(fs,least,purity,chance,usectx):
     share=n[1]/sum(n); lim=math.log(max(1,len(tried))/chance); out={}
     for t,(w,a,b) in cand.items():
         if not usectx or T.evidence(min(a,len(cx[1][t])),min(b,len(cx[0][t])),share)>lim: out[t]=round(w,6)
-    return out
+    return spread(out,fs,purity) if pure else out
 def score(lex,fs):
     m=T.Matcher(lex); tp=fn=fp=tn=0
     for y,_,_,t in fs:
