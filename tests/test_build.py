@@ -2,13 +2,14 @@
 
 import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import curate, dedup, splits
-from quillspark.operators.cuts import new_path
-from quillspark.plans import build, library, stages
+from quillspark.operators import curate, dedup, set_join, splits
+from quillspark.operators.cuts import new_path, work_dir
+from quillspark.plans import build, curation, library, stages
 from quillspark.plans.curation import master_rows
 from quillspark.sources import files
 from quillspark.streaming import results
@@ -76,6 +77,41 @@ def test_staged_build(spark):
     assert {r.stage: r.n for r in stages.counts(again).collect()} == n
 
 
+def _written(spark):
+    root = work_dir(spark).removeprefix("file://")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+
+
+@needs_tables
+@pytest.mark.parametrize("query", [library.near_pairs, library.near_components, build.whole_dedup, curation.decontaminate_near, curation.decontaminate_reasons])
+def test_near_joins_write_little_more_than_the_texts(spark, query):
+    """What a join of shingles leaves in the shared folder: keys and links, not every shingle."""
+    before = _written(spark)
+    assert query(spark, SF).count()
+    assert _written(spark) - before < 2 * library.read(spark, SF, "documents").selectExpr("sum(octet_length(text))").first()[0]
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_similar_sets_of_all_sizes(spark, monkeypatch, threshold):
+    """All pairs by brute force, of sets that lie on both sides of the classes' bounds, in many parts and packed runs."""
+    monkeypatch.setattr(set_join, "PART", 500)
+    monkeypatch.setattr(set_join, "HELD", 3000)
+    rng = random.Random(3)
+    own = {}
+    for g, n in enumerate((1, 2, 5, 40, 230, 255, 256, 300, 511, 512, 600, 1023, 1024, 2100)):
+        base = [rng.getrandbits(62) for _ in range(n)]
+        for k in range(6):
+            kept = [x for x in base if rng.random() > 0.04 * k]
+            own[g * 10 + k] = {*kept, *(rng.randrange(400) for _ in range(n * k // 40 + (not kept)))}
+    sets = spark.createDataFrame([(i, sorted(s)) for i, s in own.items()], "id long, grams array<long>")
+    want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
+    want = {p: j for p, j in want.items() if j >= threshold - 1e-12}
+    got = [(r.a, r.b, r.jaccard) for r in dedup.similar_pairs(sets, threshold=threshold).collect()]
+    assert len(got) == len(want) > 50 and {(a, b): j for a, b, j in got} == want
+    across = {(r.a, r.b) for r in dedup.similar_pairs(sets.where("id % 2 = 0"), sets.where("id % 2 = 1"), threshold).collect()}
+    assert across == {p if p[0] % 2 == 0 else p[::-1] for p in want if sum(p) % 2}
+
+
 def test_banded_links_beside_a_smaller_unlike_id(spark):
     """Links between members of a bucket are found although its smallest id is unlike all of them."""
     rows = []
