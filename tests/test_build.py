@@ -112,6 +112,16 @@ def test_similar_sets_of_all_sizes(spark, monkeypatch, threshold):
     assert across == {p if p[0] % 2 == 0 else p[::-1] for p in want if sum(p) % 2}
 
 
+@needs_tables
+def test_banded_links_of_texts(spark):
+    """One row of hashes a set is written, not one for each band; keys give the links that their shingles give."""
+    keys = library.keyed(spark, SF).groupBy("key").agg(F.min("doc_id").alias("id"))
+    sets = dedup.shingled(keys, "id", "key").cache()
+    assert dedup._bands(sets, 128, 16).count() == sets.count()
+    links = [sorted((r.a, r.b, r.jaccard) for r in df.collect()) for df in (dedup.banded_links(sets), dedup.banded_text_links(keys))]
+    assert links[0] == links[1] != []
+
+
 def test_banded_links_beside_a_smaller_unlike_id(spark):
     """Links between members of a bucket are found although its smallest id is unlike all of them."""
     rows = []
