@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.operators import evaluate
 
@@ -15,31 +14,27 @@ KEYS = ["benchmark", "eval_id", "script"]
 SCHEMA = "benchmark string, eval_id string, script string, gold_answer string, answer_type string, output string, seq long"
 
 
-def _first(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The row with the least seq of a key's first batch; nothing from then on."""
-    if state.exists:
-        for _ in rows:
-            pass
-        return
-    least = pd.concat([r.nsmallest(1, "seq") if r["seq"].notna().any() else r.head(1) for r in rows])
-    state.update((True,))
-    yield least.sort_values("seq").head(1)
-
-
 def first_lines(lines: DataFrame) -> DataFrame:
-    """The first row of each key of a stream of SCHEMA. A flag for each key is kept as state, by the key's hash; nothing is read twice."""
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    once = lines.groupBy(*KEYS).applyInPandasWithState(_first, SCHEMA, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    # The state operator's rows can't go to an Arrow function as they are; an expression makes them over.
-    return once.select(*[F.concat(c, F.lit("")).alias(c) if c == "output" else F.col(c) for c in columns])
+    """The row with the least seq of each key of a batch of SCHEMA, rows without one last; by partial aggregation."""
+    rest = [c.split()[0] for c in SCHEMA.split(", ")][len(KEYS) :]
+    least = lines.groupBy(*KEYS).agg(F.min_by(F.struct(*rest), F.struct(F.col("seq").isNull(), "seq")).alias("_r"))
+    return least.select(*KEYS, *[F.col("_r")[c].alias(c) for c in rest])
 
 
 def grade_stream(spark: SparkSession, source: str, out: str, checkpoint: str) -> StreamingQuery:
     """Grade what is in source and not yet in out, then stop; a later call goes on from checkpoint.
 
-    Of equal keys in one batch the least seq counts, of later ones none. out is a file sink: what a
-    batch writes counts once it is whole. Undecodable lines are skipped.
+    Of equal keys in one batch the least seq counts, of later ones none. Each batch has its folder in out,
+    batch=N, which a repetition of that batch replaces; the keys of those before it are the state. Undecodable
+    lines are skipped.
     """
+
+    def grade(lines: DataFrame, n: int) -> None:
+        new = first_lines(lines)
+        if n:
+            done = lines.sparkSession.read.schema(", ".join(f"{k} string" for k in KEYS) + ", batch long").parquet(out).where(F.col("batch") < n).select(*[F.col(k).alias(f"_{k}") for k in KEYS])
+            new = new.join(done, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS)), "left_anti")
+        evaluate.grade(new).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
     lines = spark.readStream.schema(SCHEMA).option("mode", "DROPMALFORMED").json(source)
-    graded = evaluate.grade(first_lines(lines))
-    return graded.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(grade).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -60,6 +60,17 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert put(("x", "#### 4", 3), ("y", None, 1)) == ({"x": True, "y": False}, 2)
 
 
+def test_stream_has_no_task_of_python_for_each_key(spark, tmp_path):
+    """The least seq counts, one without seq last, null keys are keys; a batch's first lines are aggregated by Spark itself."""
+    log = spark.createDataFrame([("b", "x", "ar", "3", "numeric", "#### 3", 2), ("b", "x", "ar", "3", "numeric", "#### 4", None), ("b", "x", "ar", "3", "numeric", "#### 5", 5), ("b", None, "ar", "3", "numeric", "#### 3", None)], results.SCHEMA)
+    assert {(r.eval_id, r.output) for r in results.first_lines(log).collect()} == {("x", "#### 3"), (None, "#### 3")}
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for _ in range(2):
+        files.write_json(log, source, "append")
+        results.grade_stream(spark, source, out, state).awaitTermination()
+    assert sorted(map(str, (r.eval_id for r in spark.read.parquet(out).collect()))) == ["None", "x"]
+
+
 @needs_tables
 def test_staged_build(spark):
     master = master_rows(spark, SF)
