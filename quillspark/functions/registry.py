@@ -20,7 +20,7 @@ FUNCTIONS = {
     "variants_differ": ("BOOLEAN", f"translate(s, '{A}', '{B}') <> translate(s, '{B}', '{A}')"),
     "native_script": ("STRING", "CASE WHEN s RLIKE '[0-9]' AND s RLIKE '[০-৯]' THEN 'mixed' WHEN s RLIKE '[0-9]' THEN 'arabic' WHEN s RLIKE '[০-৯]' THEN 'bengali' ELSE 'none' END"),
     "strip_math": ("STRING", rf"regexp_replace(regexp_replace(s, r'{T.MATH}', ' '), r'\\[a-zA-Z]+', ' ')"),
-    "matching_key": ("STRING", rf"regexp_replace(lower(translate(nfc(coalesce(s, '')), '{B}', '{A}')), r'{T.NOT_A_WORD}', '')"),
+    "matching_key": ("STRING", rf"regexp_replace(lower(translate(coalesce(nfc(CASE WHEN s RLIKE r'{T.COMPOSABLE}' THEN s END), s, ''), '{B}', '{A}')), r'{T.NOT_A_WORD}', '')"),
 }
 
 

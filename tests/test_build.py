@@ -3,10 +3,13 @@
 import hashlib
 import os
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import registry, text
 from quillspark.operators import curate, dedup, set_join, splits
 from quillspark.operators.cuts import new_path, work_dir
 from quillspark.plans import build, curation, library, stages
@@ -71,6 +74,16 @@ def test_stream_has_no_task_of_python_for_each_key(spark, tmp_path):
     assert sorted(map(str, (r.eval_id for r in spark.read.parquet(out).collect()))) == ["None", "x"]
 
 
+def test_only_texts_that_composition_may_change_go_to_python(spark):
+    said = ["e\u0301 x", "caf\u00e9", "\u09a1\u09bc", "\u212b", "\u02ff", "plain", "", None, "a\u0300", "\u1100\u1161", "x \u0340"]
+    registry.register(spark)
+    rows = spark.createDataFrame([(s,) for s in said], "s string")
+    got = [tuple(r) for r in rows.select("s", text.composed("s"), text.matching_key("s"), F.expr("matching_key(s)")).collect()]
+    assert all(c == (s and unicodedata.normalize("NFC", s)) for s, c, _, _ in got) and all(k == m for _, _, k, m in got)
+    assert not re.search(text.COMPOSABLE.replace("x{0}", "x00").replace("x{2FF}", "u02ff"), "caf\u00e9 \u02ff plain\n")
+    assert all(unicodedata.normalize("NFC", a + b) == a + b for a in "aAe\u00e9\u02ff" for b in map(chr, range(0x300)))
+
+
 @needs_tables
 def test_staged_build(spark):
     master = master_rows(spark, SF)
