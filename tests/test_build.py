@@ -136,6 +136,55 @@ def test_similar_sets_of_all_sizes(spark, monkeypatch, threshold):
     assert across == {p if p[0] % 2 == 0 else p[::-1] for p in want if sum(p) % 2}
 
 
+def _components(pairs):
+    root = {}
+    for a, b in pairs:
+        x, y = root.setdefault(a, a), root.setdefault(b, b)
+        root.update({k: min(x, y) for k, r in root.items() if r in (x, y)})
+    return root
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+@pytest.mark.parametrize("bound", [(2048, 4_000_000), (7, 4_000_000), (2048, 900)])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, threshold, bound):
+    """Chains, copies, unlike neighbours and sizes across the classes, in one block of a group or in many."""
+    for name, value in zip(("PART", "HELD", "STEP", "MEMBERS", "BLOCK"), (500, 3000, 50, *bound), strict=True):
+        monkeypatch.setattr(set_join, name, value)
+    rng = random.Random(5)
+    own = {}
+    for g, n in enumerate((1, 2, 5, 40, 150, 255, 300, 600)):
+        base = [rng.getrandbits(62) for _ in range(n)]
+        for k in range(40):
+            if k % 4 == 0 and k:
+                base = [x if rng.random() > 0.13 else rng.getrandbits(62) for x in base]  # a chain of copies of copies
+            own[f"{g}-{k}"] = {*(x for x in base if rng.random() > 0.01 * (k % 4)), rng.randrange(300)}
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in own.items()], "id string, load array<long>")
+    want = [(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) / len(own[a] | own[b]) >= threshold - 1e-12]
+    links = [tuple(sorted(r)) for r in set_join.linked(rows, set_join.array_grams, threshold).collect()]
+    assert set(links) <= set(want) and _components(links) == _components(want) and len(set(_components(want).values())) > 5
+    assert set_join.linked(rows.limit(0), set_join.array_grams, threshold).count() == 0
+
+
+def test_groups_of_near_copies_write_no_pairs(spark):
+    """Of many near copies neither the pairs nor their texts for each pair are written; all are one component."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(1)
+    text = "".join(rng.choice(letters) for _ in range(400))
+    keys = spark.createDataFrame([(i, text[:i] + "0" + text[i + 1 :]) for i in range(400)], "id long, key string")
+    counts = []
+
+    def counted(df, name, real=set_join.cut):
+        out = real(df, name)
+        counts.append((name, out.count()))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(set_join, "cut", counted)
+        got = dedup.near_clusters(keys, 0.9).collect()
+    assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(400)}
+    assert max(n for _, n in counts) < 24 * 400, counts
+
+
 @needs_tables
 def test_banded_links_of_texts(spark):
     """One row of hashes a set is written, not one for each band; keys give the links that their shingles give."""
