@@ -185,6 +185,18 @@ def test_groups_of_near_copies_write_no_pairs(spark):
     assert max(n for _, n in counts) < 24 * 400, counts
 
 
+def test_dedup_writes_no_solutions(spark, monkeypatch):
+    """Whole rows come back, null pools and repeated ids too, but no solution is written on the way."""
+    columns = []
+    monkeypatch.setattr(dedup, "cut", lambda df, name, real=dedup.cut: columns.extend(df.columns) or real(df, name))
+    key = "abcdefghij" * 9
+    given = [("1", key, "rl", True, "long", "1", []), ("2", key, "sft", True, "s", None, []), ("3", key[1:], "rl", True, "x", "0", []), ("4", "other", None, True, None, None, ["f"]), ("5", "", "rl", False, "y", None, []), ("5", "apart", "rl", True, "yy", None, [])]
+    rows = spark.createDataFrame(given, "id string, key string, pool string, verifiable boolean, solution string, vote_key string, flags array<string>")
+    got = {r.id: (r.key, r.solution, r.verifiable, r.flags) for r in dedup.dedup(rows).collect()}
+    assert got == {"2": (key, "s", True, []), "4": ("other", None, True, ["f"]), "5": ("apart", "yy", True, [])}
+    assert "solution" not in columns and columns
+
+
 @needs_tables
 def test_banded_links_of_texts(spark):
     """One row of hashes a set is written, not one for each band; keys give the links that their shingles give."""
